@@ -79,9 +79,9 @@ def first_violations(responses: DataFrame, rules: DataFrame, row_id: str, text:
         return money.violates(r["operator"], F.col("_low"), r["rule_value"]) | money.violates(
             r["operator"], F.col("_high"), r["rule_value"])
 
-    tested = _against_rules(rows, rules, row_id).withColumn("_hit", F.filter("_rules", broken)[0])
+    tested = _against_rules(rows, rules, row_id).withColumn("_hit", F.get(F.filter("_rules", broken), 0))
     hit = tested.filter(F.col("_hit").isNotNull())
-    amount = F.filter("_amounts", lambda a: money.violates(F.col("_hit.operator"), a, F.col("_hit.rule_value")))[0]
+    amount = F.get(F.filter("_amounts", lambda a: money.violates(F.col("_hit.operator"), a, F.col("_hit.rule_value"))), 0)
     first = F.min(F.struct("_hit.id", amount.alias("amount"), "_hit.description"))
     return hit.groupBy(row_id).agg(first.alias("_v")).select(
         row_id, F.col("_v.id").alias("rule_id"), "_v.amount", "_v.description",
