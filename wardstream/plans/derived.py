@@ -19,7 +19,8 @@ class Spark:
 
     @staticmethod
     def b64(x: str) -> str:
-        return f"base64({x})"
+        # Line breaks, which some settings ask for, come out again.
+        return f"regexp_replace(base64({x}), '[^A-Za-z0-9+/=]', '')"
 
     @staticmethod
     def plus_seconds(ts: str, s: str) -> str:
