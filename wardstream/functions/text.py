@@ -19,6 +19,7 @@ from .bind import bind, let
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _ROT = _LOWER[13:] + _LOWER[:13]
+_TURN = str.maketrans(_LOWER, _ROT)
 _ALPHABET, _ALPHABET_ROT = _LOWER.upper() + _LOWER, _ROT.upper() + _ROT
 
 # One Base64 quad, then the ways the data can end: padded, or exactly full.
@@ -63,6 +64,21 @@ def keyword_list(text: Column) -> Column:
     return let(F.lower(text), found)
 
 
+def _plausible_base64(stripped: Column) -> Column:
+    """False only where the first 48 decoded bytes already break UTF-8.
+
+    The head of a decoding is the decoding of the head, so this drops ordinary prose
+    after its first line.  Up to three bytes may be the start of a longer character.
+    """
+    def opens(head: Column) -> Column:
+        raw = F.try_to_binary(head, F.lit("base64"))
+        cut = [F.is_valid_utf8(F.substring(raw, 1, 48 - k).cast("string")) for k in range(4)]
+        return (F.length(head) < 64) | F.contains(head, F.lit("=")) | cut[0] | cut[1] | cut[2] | cut[3]
+
+    cleaned = F.regexp_replace(F.substring(stripped, 1, 240), "[^A-Za-z0-9+/=]+", "")
+    return let(F.substring(cleaned, 1, 64), opens)
+
+
 def base64_candidate(text: Column) -> Column:
     """Lenient Base64: junk skipped, padding completed from the raw length, UTF-8 only."""
     def padding(s: Column) -> Column:
@@ -73,13 +89,29 @@ def base64_candidate(text: Column) -> Column:
         return F.try_validate_utf8(data.cast("string"))
 
     def from_stripped(s: Column) -> Column:
-        cleaned = F.regexp_replace(F.concat(s, padding(s)), "[^A-Za-z0-9+/=]", "")
+        cleaned = F.regexp_replace(F.concat(s, padding(s)), "[^A-Za-z0-9+/=]+", "")
         body = F.replace(F.nullif(F.regexp_extract(cleaned, _B64_BODY, 0), F.lit("")), F.lit("="), F.lit(""))
-        return F.when(F.length(s) == F.octet_length(s), let(body, decode))
+        return F.when((F.length(s) == F.octet_length(s)) & _plausible_base64(s), let(body, decode))
 
     return let(F.btrim(text, F.lit(fixed.WHITESPACE)), from_stripped)
 
 
+def turned_keyword(text: Column) -> Column:
+    """True where the ROT13 of ``text`` holds a keyword.
+
+    The turned keywords are looked for in the text as it is; only the two letters whose
+    lower case is ASCII while they are not need the text turned first.
+    """
+    def found(lowered: Column) -> Column:
+        hit = F.lit(False)
+        for word in fixed.KEYWORDS:
+            hit = hit | F.contains(lowered, F.lit(word.translate(_TURN)))
+        return hit
+
+    odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    return F.when(odd, has_keyword(rot13(text))).otherwise(let(F.lower(text), found))
+
+
 def rot13(text: Column) -> Column:
     return F.translate(text, _ALPHABET, _ALPHABET_ROT)
 
@@ -101,7 +133,7 @@ def _native_decoding(text: Column) -> Column:
         return F.when(F.contains(t, F.lit("%")), changed)
 
     def turned(t: Column) -> Column:
-        return let(rot13(t), lambda r: F.when((r != t) & has_keyword(r), made("rot13", r)))
+        return F.when(turned_keyword(t), let(rot13(t), lambda r: F.when(r != t, made("rot13", r))))
 
     def first(t: Column) -> Column:
         base = let(base64_candidate(t), lambda b: F.when((b != t) & (F.length(b) > 10), made("base64", b)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, money
+from ..functions.bind import bind
 from .skew import lookup_join
 
 RULE_BLOCK = 1_000
@@ -72,7 +73,8 @@ def first_violations(responses: DataFrame, rules: DataFrame, row_id: str, text:
     An operator is broken by some amount exactly when it is broken by the smallest or
     the largest one, so a response is tested once per rule, not once per amount.
     """
-    rows = responses.withColumn("_amounts", money.amounts(F.col(text))).filter(F.size("_amounts") > 0).select(
+    found = bind(responses.select(row_id, text), "_amounts", money.amounts(F.col(text)))
+    rows = found.filter(F.size("_amounts") > 0).select(
         row_id, "_amounts", F.array_min("_amounts").alias("_low"), F.array_max("_amounts").alias("_high"))
 
     def broken(r):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, injection, text as textfn
 from ..functions.verdicts import judge_fields
 from ..operators import guards, language, privacy, screening, validation
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import derived as d, oracle_parts as o
 from .registry import query
 
@@ -62,7 +62,7 @@ _PAGE_PII_SQL = o.pii_steps("SELECT page_id, html FROM pages", "html", fixed.PII
     SELECT page_id, redacted, array_to_string(redacted_types, ',') AS pii_types,
         redacted_count AS n_matches FROM ({_PAGE_PII_SQL})""")
 def pii_pages(spark, folder):
-    df = privacy.redact(table(spark, folder, "pages").select("page_id", "html"), "html")
+    df = privacy.redact(spread(table(spark, folder, "pages").select("page_id", "html")), "html")
     return df.select("page_id", "redacted", F.array_join("redacted_types", ",").alias("pii_types"),
                      F.col("redacted_count").alias("n_matches"))
 
@@ -113,7 +113,7 @@ def keyword_hits(spark, folder):
 @query("page_entities")
 def page_entities(spark, folder):
     """Entity decoding over raw pages; the checking SQL has no such function."""
-    pages = table(spark, folder, "pages").select("page_id", "html")
+    pages = spread(table(spark, folder, "pages").select("page_id", "html"))
     decoded = textfn.decode_once(pages, "html", "decoded")
     return decoded.select("page_id", F.col("decoded_kind").alias("kind"), F.length("decoded").alias("n_chars"))
 
@@ -165,7 +165,7 @@ _PROFILE_SQL = f"""
 
 
 def _tagged(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"))
     return language.tag(docs, language.profiles(docs, "text", "lang"), "doc_id", "text")
 
 
