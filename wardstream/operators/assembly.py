@@ -90,7 +90,7 @@ def shuffle_pairs(messages: DataFrame, max_messages: int = fixed.MAX_MESSAGES +
     lead = F.when(starts, F.col("_i")).when(ends, F.col("_i") - 1)
     active = (F.col("_n") >= 4) & (F.lit(always) | (draw(conv, 31, 5, 2) == 0))
     group = F.when(first, 0).when(last, 3).when(lead.isNotNull(), 1).otherwise(2)
-    order = F.when(lead.isNotNull(), F.pmod(conv * 92821 + lead * 68917 + 41, F.lit(1009))).otherwise(F.lit(0))
+    order = F.when(lead.isNotNull(), F.pmod((conv * 31 + 7) * (lead * 17 + 3), F.lit(1009))).otherwise(F.lit(0))
     df = df.withColumns({
         "_group": F.when(active, group).otherwise(0),
         "_order": F.when(active, order).otherwise(0),

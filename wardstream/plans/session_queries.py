@@ -310,7 +310,7 @@ def assembled_prompts(spark, folder):
     pairs AS (SELECT *, CASE WHEN role = 'user' AND nx = 'assistant' THEN i WHEN role = 'assistant' AND pv = 'user' THEN i - 1 END AS p FROM mid),
     placed AS (
         SELECT conv_id, turn, role, text, i, CASE WHEN p IS NULL THEN 2 ELSE 1 END AS g,
-            CASE WHEN p IS NULL THEN 0 ELSE (conv_id * 92821 + p * 68917 + 41) % 1009 END AS h, coalesce(p, i) AS q
+            CASE WHEN p IS NULL THEN 0 ELSE ((conv_id * 31 + 7) * (p * 17 + 3)) % 1009 END AS h, coalesce(p, i) AS q
         FROM pairs WHERE n >= 4 AND (conv_id * 31 + 5) % 2 = 0
         UNION ALL SELECT conv_id, turn, role, text, i, CASE WHEN i = 0 THEN 0 ELSE 3 END, 0, i FROM k
             WHERE n <= 7 AND n >= 4 AND (conv_id * 31 + 5) % 2 = 0 AND (i = 0 OR i = n - 1)
