@@ -166,10 +166,12 @@ def normalise(df: DataFrame, text: str) -> DataFrame:
     df = decode_once(df, "_d1", "_d2")
     df = df.withColumn("_plain", F.coalesce("_d2", "_d1", text))
     plain = F.col("_plain")
-    df = df.withColumn("_folded", _nfkc(F.when(~plain.rlike(_NFKC_STABLE), plain)))
+    # ASCII and most of Latin-1 pass all three folds unchanged; such rows skip them.
+    df = bind(df, "_stable", (F.length(plain) == F.octet_length(plain)) | plain.rlike(_NFKC_STABLE))
+    df = df.withColumn("_folded", _nfkc(F.when(~F.col("_stable"), plain)))
     folded = F.coalesce("_folded", plain)
     shown = F.translate(F.regexp_replace(folded, fixed.ZERO_WIDTH, ""), fixed.CYRILLIC, fixed.LATIN)
-    df = bind(df, "norm_text", shown)
+    df = bind(df, "norm_text", F.when(F.col("_stable"), plain).otherwise(shown))
     df = bind(df, "norm_keywords", keyword_list(F.col("norm_text"))).withColumns({
         "norm_homoglyph": F.col("norm_text") != plain,
         "norm_encodings": F.array_compact(F.array("_d1_kind", "_d2_kind")),
@@ -180,7 +182,7 @@ def normalise(df: DataFrame, text: str) -> DataFrame:
     floor = F.when(F.col("norm_homoglyph"), 0.7).otherwise(0.0)
     risk = F.when(F.size("norm_keywords") > 0, F.greatest(keyed, floor)).otherwise(extra)
     df = df.withColumn("norm_risk", F.round(F.least(risk, F.lit(1.0)), 4))
-    return df.drop("_d1", "_d2", "_d1_kind", "_d2_kind", "_plain", "_folded")
+    return df.drop("_d1", "_d2", "_d1_kind", "_d2_kind", "_plain", "_folded", "_stable")
 
 
 def truncate_output(text: Column, limit: int = fixed.MAX_OUTPUT_CHARS,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .skew import lookup_join
 
 WORDS = 200  # profile size per language
@@ -27,6 +28,7 @@ def profiles(labelled: DataFrame, text: str, lang: str, size: int = WORDS) -> Da
 
 def tag(texts: DataFrame, profile: DataFrame, row_id: str, text: str) -> DataFrame:
     """The language whose profile covers the text best, "unknown" where none does."""
+    profile = cut_lineage(profile)  # a few words per language; built from all texts
     tokens = texts.select(row_id, F.explode(words(F.col(text))).alias("word"))
     scored = lookup_join(tokens, profile, ["word"], "inner", F.col(row_id)).groupBy(row_id, "tag").agg(
         F.round(F.sum("weight"), 9).alias("score"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..session import cut_lineage
-from .skew import is_small, lookup_join
+from .skew import lookup_join
 
 HOT_TICKS = 1_000_000
 
@@ -177,13 +177,14 @@ def replay(requests: DataFrame, key: str, ts: str, row_id: str,
     key_type = requests.schema[key].dataType.simpleString()
     granted_schema = f"_key {key_type}, ts_us long, granted long"
 
-    sizes = ticks.groupBy("_key").agg(F.count("*").alias("n"))
-    hot = sizes.filter(F.col("n") > hot_ticks).select("_key")
+    sizes = ticks.groupBy("_key").agg(F.count("*").alias("n"), F.max("m").alias("m"))
+    largest, thickest = sizes.agg(F.max("n"), F.max("m")).first()
     started = F.lit(full).cast("long")
-    if hot.isEmpty():
+    if (largest or 0) <= hot_ticks:
         plan = ticks.withColumns({"_chunk": F.lit(0).cast("long"), "_start": started, "_start_us": F.col("ts_us")})
         cluster = ["_key"]
     else:
+        hot = sizes.filter(F.col("n") > hot_ticks).select("_key")
         plan = _chunked(ticks, hot, key_type, full, cost, refill, hot_ticks)
         cluster = ["_key", "_chunk"]
     granted = (
@@ -192,9 +193,8 @@ def replay(requests: DataFrame, key: str, ts: str, row_id: str,
     )
     # At one microsecond a bucket grants at most its capacity, first ids first.
     rank = F.row_number().over(W.partitionBy(key, "ts_us").orderBy(row_id))
-    crowded = ticks.filter(F.col("m") > capacity).select(F.col("_key").alias(key), "ts_us")
     granted = granted.withColumnRenamed("_key", key)
-    if crowded.isEmpty():
+    if (thickest or 0) <= capacity:
         ranked = stamped.withColumn("_rank", rank)
         return ranked.join(granted, [key, "ts_us"]).withColumn(
             "allowed", F.col("_rank") <= F.col("granted")).drop("ts_us", "_rank", "granted")
@@ -248,5 +248,3 @@ def idle_keys(requests: DataFrame, key: str, ts: str, as_of=None, max_age_second
     return last.filter(
         F.col("last_seen") < F.lit(as_of) - F.make_dt_interval(secs=F.lit(max_age_seconds)))
 
-
-__all__ = ["replay", "throttle_report", "idle_keys", "advance", "is_small"]

@@ -9,7 +9,8 @@ from ..functions import fixed, money
 from ..functions.bind import bind
 from .skew import lookup_join
 
-RULE_BLOCK = 1_000
+RULE_BLOCK = 1_000  # rules per array
+BROADCAST_BLOCKS = 100
 
 
 def ingest(rules: DataFrame) -> DataFrame:
@@ -57,7 +58,9 @@ def _rule_blocks(rules: DataFrame) -> tuple[DataFrame, int]:
 def _against_rules(rows: DataFrame, rules: DataFrame, spread: str) -> DataFrame:
     blocks, n_blocks = _rule_blocks(rules)
     targets = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    return lookup_join(targets, blocks, ["_block"], "inner", F.col(spread), max_rows=100)
+    if n_blocks <= BROADCAST_BLOCKS:
+        return targets.join(F.broadcast(blocks), "_block")
+    return lookup_join(targets, blocks, ["_block"], "inner", F.col(spread), max_rows=BROADCAST_BLOCKS)
 
 
 def violations(responses: DataFrame, rules: DataFrame, row_id: str, text: str) -> DataFrame:

@@ -235,7 +235,7 @@ def load(spark: SparkSession, folder: str, spec) -> DataFrame:
     """A derived table in Spark."""
     base, columns = spec(Spark)
     rows = table(spark, folder, base)
-    if base in ("documents", "pages"):
+    if base in ("documents", "pages", "orders", "events"):
         rows = spread(rows)  # texts cost far more to scan for patterns than to read
     return rows.selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
