@@ -183,6 +183,15 @@ def test_rules_beyond_one_block(spark, monkeypatch):
         if first:
             want[i] = first
     assert {r["id"]: (r["rule_id"], r["amount"]) for r in got} == want
+    answers, table = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(limits, tables.SCHEMAS["business_rules"])
+    many = rules.with_violation(answers, table, "id", "t").collect()
+    monkeypatch.setattr(rules, "RULE_BLOCK", 1000)
+    one = rules.with_violation(answers, table, "id", "t").collect()
+    reasons = {i: f"Deterministic rule violation: r{r[0]}" for i, r in want.items()}
+    for rows in (many, one):
+        assert {r["id"]: r["rule_reason"] for r in rows} == {i: reasons.get(i) for i, _ in texts}
+    no_rules = rules.with_violation(answers, table.filter("id < 0"), "id", "t").collect()
+    assert len(no_rules) == 60 and all(r["rule_reason"] is None for r in no_rules)
 
 
 def test_candidates_and_approval(spark):

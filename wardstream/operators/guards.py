@@ -70,26 +70,23 @@ def contradiction_label(contradicts: Column, consistent: Column) -> Column:
     return F.when(contradicts > consistent, F.lit("contradicts policy")).otherwise(F.lit("consistent with policy"))
 
 
-def output_guard(responses: DataFrame, violations: DataFrame, row_id: str) -> DataFrame:
+def output_guard(responses: DataFrame) -> DataFrame:
     """Adds ``out_action``, ``out_reason``, ``out_confidence``.
 
-    ``violations`` is the first broken rule per response; ``contra_score``,
-    ``out_judge_action``, ``out_judge_reason`` and ``out_judge_confidence`` are columns
-    of ``responses``.
+    Reads ``rule_reason`` (the first broken rule), ``contra_score``, ``out_judge_action``,
+    ``out_judge_reason`` and ``out_judge_confidence``.
     """
-    found = violations.select(row_id, F.col("reason").alias("_rule"))
-    df = responses.join(found, row_id, "left")
-    rule = F.col("_rule").isNotNull()
+    rule = F.col("rule_reason").isNotNull()
     contra = contradiction_gate(F.col("contra_score"))
-    return df.withColumns({
+    return responses.withColumns({
         "out_action": F.when(rule | contra, "BLOCK").otherwise(F.coalesce("out_judge_action", F.lit("BLOCK"))),
-        "out_reason": F.when(rule, F.col("_rule")).when(
+        "out_reason": F.when(rule, F.col("rule_reason")).when(
             contra, F.concat(F.lit("contradicts policy, score "), F.format_string("%.2f", "contra_score")))
         .otherwise(F.coalesce("out_judge_reason", F.lit("judge unavailable"))),
         "out_confidence": F.when(rule, F.lit(1.0)).when(contra, F.col("contra_score"))
         .when(F.col("out_judge_action").isNull(), F.lit(0.0))
         .otherwise(F.coalesce("out_judge_confidence", F.lit(1.0))),
-    }).drop("_rule")
+    })
 
 
 def staged_verdict(requests: DataFrame) -> DataFrame:

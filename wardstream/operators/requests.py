@@ -65,10 +65,8 @@ def verdicts(requests: DataFrame, vectors: DataFrame, cached: DataFrame, rules:
     df = df.withColumn("_guarded", F.when(alive, F.col("norm_text")))
     df = guards.input_guard(df, "_guarded", "raw_prompt").drop("_guarded")
     answered = F.when(alive & ~F.col("in_action").isin("BLOCK", "REVIEW") & F.col("llm_available"), F.col("text"))
-    df = df.withColumn("_answer", answered)
-    broken = rule_ops.first_violations(
-        df.filter(F.col("_answer").isNotNull()).select("id", "_answer"), rules, "id", "_answer")
-    return guards.staged_verdict(guards.output_guard(df, broken, "id")).drop("_answer")
+    df = rule_ops.with_violation(df.withColumn("_answer", answered), rules, "id", "_answer")
+    return guards.staged_verdict(guards.output_guard(df)).drop("_answer", "rule_reason")
 
 
 def audit_fields(decided: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, money
@@ -76,21 +76,46 @@ def first_violations(responses: DataFrame, rules: DataFrame, row_id: str, text:
     An operator is broken by some amount exactly when it is broken by the smallest or
     the largest one, so a response is tested once per rule, not once per amount.
     """
-    found = bind(responses.select(row_id, text), "_amounts", money.amounts(F.col(text)))
-    rows = found.filter(F.size("_amounts") > 0).select(
-        row_id, "_amounts", F.array_min("_amounts").alias("_low"), F.array_max("_amounts").alias("_high"))
+    found = _first_in_block(_against_rules(_with_extremes(responses.select(row_id, text), text), rules, row_id))
+    first = F.min(F.struct("_v.id", "_v.amount", "_v.description"))
+    return found.filter(F.col("_v").isNotNull()).groupBy(row_id).agg(first.alias("_v")).select(
+        row_id, F.col("_v.id").alias("rule_id"), "_v.amount", "_v.description", _reason("_v").alias("reason"))
 
+
+def _with_extremes(responses: DataFrame, text: str) -> DataFrame:
+    found = bind(responses, "_amounts", money.amounts(F.col(text)))
+    return found.withColumns({"_low": F.array_min("_amounts"), "_high": F.array_max("_amounts")})
+
+
+def _first_in_block(rows: DataFrame) -> DataFrame:
+    """Adds ``_v``: the first rule of ``_rules`` that the amounts break, with the first such amount."""
     def broken(r):
         return money.violates(r["operator"], F.col("_low"), r["rule_value"]) | money.violates(
             r["operator"], F.col("_high"), r["rule_value"])
 
-    tested = _against_rules(rows, rules, row_id).withColumn("_hit", F.get(F.filter("_rules", broken), 0))
-    hit = tested.filter(F.col("_hit").isNotNull())
-    amount = F.get(F.filter("_amounts", lambda a: money.violates(F.col("_hit.operator"), a, F.col("_hit.rule_value"))), 0)
-    first = F.min(F.struct("_hit.id", amount.alias("amount"), "_hit.description"))
-    return hit.groupBy(row_id).agg(first.alias("_v")).select(
-        row_id, F.col("_v.id").alias("rule_id"), "_v.amount", "_v.description",
-        F.concat(F.lit("Deterministic rule violation: "), "_v.description").alias("reason"))
+    hit = F.get(F.filter("_rules", broken), F.lit(0))
+    rows = bind(rows, "_hit", F.when(F.size("_amounts") > 0, hit))
+    amount = F.get(F.filter("_amounts", lambda a: money.violates(F.col("_hit.operator"), a, F.col("_hit.rule_value"))), F.lit(0))
+    first = F.struct("_hit.id", amount.alias("amount"), "_hit.description")
+    return rows.withColumn("_v", F.when(F.col("_hit").isNotNull(), first)).drop("_hit", "_low", "_high", "_amounts", "_rules")
+
+
+def _reason(violation: str) -> Column:
+    return F.concat(F.lit("Deterministic rule violation: "), F.col(f"{violation}.description"))
+
+
+def with_violation(responses: DataFrame, rules: DataFrame, row_id: str, text: str) -> DataFrame:
+    """Adds ``rule_reason``, NULL where no rule is broken.
+
+    Up to one array of rules is broadcast to the responses as they stand: no shuffle.
+    """
+    blocks, n_blocks = _rule_blocks(rules)
+    if n_blocks > 1:
+        found = first_violations(responses, rules, row_id, text)
+        return responses.join(found.select(row_id, F.col("reason").alias("rule_reason")), row_id, "left")
+    rows = _with_extremes(responses, text).withColumn("_block", F.lit(0))
+    tested = _first_in_block(rows.join(F.broadcast(blocks), "_block", "left"))
+    return tested.withColumn("rule_reason", _reason("_v")).drop("_v", "_block")
 
 
 def policy_context(rules: DataFrame, limit: int = 200) -> DataFrame:

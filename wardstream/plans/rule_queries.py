@@ -133,9 +133,8 @@ def confidence_gate(spark, folder):
 @query("output_guard", f"""
     SELECT id, out_action, out_reason, out_confidence FROM ({o.output_guard(_RESPONSES_SQL, _FIRST_SQL, 'id')})""")
 def output_guard(spark, folder):
-    answers = _responses(spark, folder)
-    broken = rules.first_violations(answers, _limits(spark, folder), "id", "text")
-    return guards.output_guard(answers, broken, "id").select("id", "out_action", "out_reason", "out_confidence")
+    answers = rules.with_violation(_responses(spark, folder), _limits(spark, folder), "id", "text")
+    return guards.output_guard(answers).select("id", "out_action", "out_reason", "out_confidence")
 
 
 # --- learned rules --------------------------------------------------------------
