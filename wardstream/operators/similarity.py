@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, vectors
+from .skew import lookup_join
 
 DIGITS = 9  # similarities are compared after rounding, so equal vectors tie
 
@@ -103,8 +104,12 @@ def _score(queries: DataFrame, index: _Index, query_id: str, embedding: str,
 
 
 def hits(scored: DataFrame, responses: DataFrame, threshold: float = fixed.CACHE_THRESHOLD) -> DataFrame:
-    """Scored queries at or above ``threshold`` with the stored response."""
-    return scored.filter(F.col("similarity") >= threshold).join(responses, "entry_id")
+    """Scored queries at or above ``threshold`` with the stored response.
+
+    One popular entry may answer a large share of the queries, hence the checked join.
+    """
+    found = scored.filter(F.col("similarity") >= threshold)
+    return lookup_join(found, responses, ["entry_id"], "inner", F.col("query_id"))
 
 
 def replay(requests: DataFrame, row_id: str, order: str, approved: str, embedding: str = "embedding",
