@@ -38,13 +38,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table in fewer files than there are cores, dealt out to all cores.
+    """Rows of a table scanned by fewer tasks than there are cores, dealt out to all cores.
 
-    Twice as many parts as cores, since texts differ in length.  A table of many files
-    is left as it is scanned: no shuffle.
+    Twice as many parts as cores, since texts differ in length.  A large table is left as
+    it is scanned: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
