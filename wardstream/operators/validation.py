@@ -17,26 +17,31 @@ def shape_check(messages: DataFrame, max_messages: int = fixed.MAX_MESSAGES,
     Every measure is a map-side combined aggregate, so a conversation of any length
     reaches the reducers as one row per task.
     """
-    role, text, turn = F.col("role"), F.col("text"), F.col("turn")
-    length = F.length(text)
+    role, text, turn, n = F.col("role"), F.col("text"), F.col("turn"), F.col("_chars")
     cap = F.when(role == "system", F.lit(max_system)).otherwise(F.lit(max_message))
+    faults = ["invalid_role", "invalid_content", "message_too_long"]
     fault = (
-        F.when(role.isNull() | ~role.isin(*fixed.ROLES), F.lit("invalid_role"))
-        .when(text.isNull(), F.lit("invalid_content"))
-        .when(length > cap, F.lit("message_too_long"))
+        F.when(role.isNull() | ~role.isin(*fixed.ROLES), F.lit(1)).when(text.isNull(), F.lit(2))
+        .when(n > cap, F.lit(3))
     )
-    stats = messages.groupBy("conv_id").agg(
+    # Lengths and codes instead of texts: rows stay narrow and the aggregation hash-based.
+    narrow = messages.withColumn("_chars", F.length(text)).select(
+        "conv_id", "turn", F.coalesce(n, F.lit(0)).alias("_chars"), fault.alias("_code"),
+        (role == "assistant").alias("_assistant"), (role == "system").alias("_system"))
+    code = F.col("_code")
+    stats = narrow.groupBy("conv_id").agg(
         F.count("*").alias("n_messages"),
-        F.sum(F.coalesce(length, F.lit(0))).cast("long").alias("n_chars"),
-        F.min_by(fault, F.when(fault.isNotNull(), turn)).alias("_fault"),
-        F.min_by(role, turn).alias("_first"),
-        F.count_if(role == "system").alias("_systems"),
+        F.sum("_chars").cast("long").alias("n_chars"),
+        F.min_by(code, F.when(code.isNotNull(), turn)).alias("_fault"),
+        F.min_by("_assistant", turn).alias("_first"),
+        F.count_if("_system").alias("_systems"),
     )
+    named = F.get(F.array(*[F.lit(f) for f in faults]), F.col("_fault") - 1)
     violation = (
         F.when(F.col("n_messages") > max_messages, F.lit("too_many_messages"))
-        .when(F.col("_fault").isNotNull(), F.col("_fault"))
+        .when(F.col("_fault").isNotNull(), named)
         .when(F.col("n_chars") > max_total, F.lit("input_too_long"))
-        .when(F.col("_first") == "assistant", F.lit("starts_with_assistant"))
+        .when(F.col("_first"), F.lit("starts_with_assistant"))
         .when(F.col("_systems") > 1, F.lit("multiple_system_messages"))
     )
     return stats.withColumn("violation", violation).drop("_fault", "_first", "_systems")
