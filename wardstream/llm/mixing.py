@@ -30,6 +30,8 @@ REPEATS = 3
 SEED = 17
 #: Slices of the order that are summed in each of the two steps.
 SLICES = 4096
+#: Documents that may be taken in after the head, to come nearer to the target.
+CLOSINGS = 2
 
 
 def word_count(text: Column) -> Column:
@@ -73,11 +75,6 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: flo
     return weighed.select("key", "source_size", F.least(level, F.col("bound")).cast("double").alias("target"))
 
 
-def _closest(rows: DataFrame, gap: Column) -> Column:
-    return F.min(F.struct(F.abs(gap - F.col("size")).alias("miss"), F.col("odds").alias("odds"), F.col("doc_id").alias("doc_id"),
-                          F.col("size").alias("size")))
-
-
 def shares(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, id_col: str = "doc_id",
            text_col: str = "text", source_col: str = "source", favour: Column | None = None, seed: int = SEED,
            slices: int = SLICES) -> DataFrame:
@@ -119,14 +116,21 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int =
     before = F.struct("odds", "doc_id", "size") < F.col("stop")
     head = F.col("odds").isNotNull() & F.coalesce(before, place <= F.col("high"), F.lit(False))
     chosen = cut_lineage(rest.withColumn("head", head).drop("stop", "high"))
+    for _ in range(CLOSINGS):
+        chosen = _closed(chosen)
+    return chosen.select("doc_id", "key", "size", "source_size", "target", (F.col("whole") + F.col("head").cast("long")).alias("copies"))
+
+
+def _closed(chosen: DataFrame) -> DataFrame:
+    """Takes in one more document of each source, if that brings it nearer to its target."""
     gap = F.col("missing") - F.col("got")
-    last = chosen.filter("odds IS NOT NULL AND NOT head").groupBy("key").agg(
-        _closest(chosen, gap).alias("c"), F.first("missing").alias("m"), F.first("got").alias("g")).filter(
-            "c.miss < m - g").select("key", F.struct("c.odds", "c.doc_id", "c.size").alias("close"))
-    done = lookup_join(chosen, last, ["key"], "left", F.xxhash64("doc_id", "size"))
-    closes = F.coalesce(F.struct("odds", "doc_id", "size") == F.col("close"), F.lit(False))
-    return done.select("doc_id", "key", "size", "source_size", "target",
-                       (F.col("whole") + (F.col("head") | closes).cast("long")).alias("copies"))
+    one = F.struct("odds", "doc_id", "size")
+    near = F.min(F.struct(F.abs(gap - F.col("size")).alias("miss"), F.col("odds"), F.col("doc_id"), F.col("size")))
+    last = chosen.filter("odds IS NOT NULL AND NOT head").groupBy("key").agg(near.alias("c"), F.max(F.abs(gap)).alias("open")).filter(
+        "c.miss < open").select("key", F.struct("c.odds", "c.doc_id", "c.size").alias("close"), F.col("c.size").alias("more"))
+    met = lookup_join(chosen, cut_lineage(last), ["key"], "left", F.xxhash64("doc_id", "size"))
+    taken = F.col("head") | F.coalesce(one == F.col("close"), F.lit(False))
+    return met.withColumns({"head": taken, "got": F.col("got") + F.coalesce("more", F.lit(0))}).drop("close", "more")
 
 
 def _within(met: DataFrame, edge: DataFrame, place: Column) -> DataFrame:
@@ -153,14 +157,16 @@ def _narrow(met: DataFrame, asked: DataFrame, edge: DataFrame, place: Column, sl
 def mix(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each document as often as the mix takes it, all columns kept.
 
-    Documents meet their number of copies by id and size; rows that repeat both are numbered
-    on either side.
+    Documents meet their number of copies by id, source and size; rows that repeat all three
+    share their copies as evenly as they go.
     """
     dealt = shares(docs, **how)
     id_col, text_col, source_col = how.get("id_col", "doc_id"), how.get("text_col", "text"), how.get("source_col", "source")
     own = docs.select("*", F.struct(F.col(id_col).alias("doc_id"), _key(F.col(source_col)).alias("key"), word_count(F.col(text_col)).alias("size")).alias("_own"))
     counted = dealt.groupBy(F.struct("doc_id", "key", "size").alias("_own"), "copies").agg(F.count("*").alias("rows"))
-    plans = counted.groupBy("_own").agg(F.max("copies").alias("_most"), F.sum(F.col("copies") * F.col("rows")).alias("_all"), F.sum("rows").alias("_rows"))
+    plans = counted.groupBy("_own").agg(F.sum(F.col("copies") * F.col("rows")).alias("_all"), F.sum("rows").alias("_rows"))
     met = own.join(plans, own["_own"].eqNullSafe(plans["_own"])).drop(plans["_own"])
-    copies = F.floor(F.col("_all") / F.col("_rows")).cast("int")
-    return met.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).drop("_copy")
+    nth = F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))
+    copies = F.floor(F.col("_all") / F.col("_rows")) + (nth <= F.col("_all") % F.col("_rows")).cast("long")
+    return met.withColumn("_copies", copies.cast("int")).select(
+        *docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).drop("_copy")

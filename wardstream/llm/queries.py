@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardstream.session import ensure_checkpoint_dir
 
-from . import jaccard_join, license_scan, maxscore, mixing, packing, risk_rules, suffix_dedup, warc_archive
+from . import deobfuscate, jaccard_join, license_scan, maxscore, mixing, packing, risk_rules, suffix_dedup, url_templates, warc_archive
 from .common import bound_batches, table
 
 
@@ -24,6 +24,17 @@ def op1_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return url_templates.judge(table(spark, folder, "pages"))
+
+
+def op3_noisy_channel(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    docs = table(spark, folder, "documents")
+    model, scorer = deobfuscate.fit(docs, table(spark, folder, "labels"))
+    return deobfuscate.score(docs, model, scorer)
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     bound_batches(spark)
     return suffix_dedup.dedup(table(spark, folder, "documents"))
@@ -64,6 +75,6 @@ def op10_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op4_suffix_dedup, op5_risk_rules, op6_maxscore_topk, op7_jaccard_join,
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_url_templates, op3_noisy_channel, op4_suffix_dedup, op5_risk_rules, op6_maxscore_topk, op7_jaccard_join,
                                    op8_license_diagonals, op9_warc_archive, op10_best_fit)}
 ORACLES: dict[str, str] = {}
