@@ -11,7 +11,9 @@ order, overlaps are counted for each fragment on its own and summed per pair.
 A group of near copies is not expanded into its pairs.  First every class is paired with one
 leader, the smallest set of the bucket that it shares most with; verified links join
 classes to components.  Then only pairs whose classes lie in different components are
-candidates.  Links inside a component change no result, so none that matters is lost.
+candidates.  Links inside a component change no result, so none that matters is lost.  Of
+the two prefixes the one that ends first in the order holds all common shingles up to there,
+so the number of shared prefix shingles bounds the overlap, and most candidates end there.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer
 words than a shingle make one shingle of the whole sequence; rows that repeat an id are all
@@ -25,7 +27,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardstream.session import cut_lineage
@@ -212,9 +214,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, width: int, perc
     pairs = cut_lineage(pairs)
     wanted = docs.sparkSession.sparkContext.broadcast(key_filter(
         pairs.select(F.explode(F.array("a", "b")).alias("cls")), F.col("cls")))
-    # the filter's places come from Spark's hash, so the candidates' sets are looked up by a second pass in the plan
-    named = _sets(docs, text_col, width, wanted)
-    tokens = cut_lineage(named)
+    tokens = cut_lineage(_sets(docs, text_col, width, wanted))
     left = pairs.join(tokens.select(F.col("cls").alias("a"), "f", F.col("tokens").alias("x")), "a")
     met = left.join(tokens.select(F.col("cls").alias("b"), "f", F.col("tokens").alias("y")), ["b", "f"])
     counted = met.select("a", "a_n", "b", "b_n", F.size(F.array_intersect("x", "y")).alias("part"))
@@ -260,6 +260,16 @@ def spark_places(values: np.ndarray, bits: int) -> np.ndarray:
     return np.mod(h.view(np.int64), bits)
 
 
+def _enough(shared: str, a_n: str, b_n: str, percent: int) -> Column:
+    """Whether so many shared prefix shingles leave room for the threshold.
+
+    Beyond the prefix that ends first at most ceil(t n) - 1 shingles of its set are left.
+    """
+    needed = F.ceil(percent * (F.col(a_n) + F.col(b_n)) / (100 + percent))
+    left = F.ceil(percent * F.greatest(a_n, b_n) / 100) - 1
+    return F.col(shared) >= F.greatest(F.lit(1), needed - left)
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
          frequent: int = FREQUENT, listed: int = LISTED) -> DataFrame:
     """Per document: id, n_shingles, component_id (the smallest id reachable by links)."""
@@ -272,7 +282,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         return 100 * F.col(small) >= percent * F.col(large)
 
     led = shared.filter(F.col("cls") != F.col("leader")).filter(near("leader_n", "n"))
-    best = led.groupBy("cls", "n", "leader", "leader_n").agg(F.count("*").alias("c")).groupBy("cls", "n").agg(
+    best = led.groupBy("cls", "n", "leader", "leader_n").agg(F.count("*").alias("c")).filter(
+        _enough("c", "leader_n", "n", percent)).groupBy("cls", "n").agg(
         F.max(F.struct("c", "leader", "leader_n")).alias("m"))
     first = cut_lineage(_verified(docs, best.select(
         F.col("m.leader").alias("a"), F.col("m.leader_n").alias("a_n"), F.col("cls").alias("b"), F.col("n").alias("b_n")), text_col, width, percent))
@@ -285,7 +296,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     y = open_rows.select("token", F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
     across = x.join(y, "token").filter((F.col("a_c") != F.col("b_c")) & near("a_n", "b_n") & (
         (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))))
-    second = _verified(docs, across.select("a", "a_n", "b", "b_n").distinct(), text_col, width, percent)
+    candidates = across.groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("c")).filter(_enough("c", "a_n", "b_n", percent)).drop("c")
+    second = _verified(docs, candidates, text_col, width, percent)
     final = components(first.unionByName(second))
     met = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     met = cut_lineage(met)

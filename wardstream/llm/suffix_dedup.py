@@ -119,117 +119,133 @@ def _places(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame
 # -- suffix arrays ----------------------------------------------------------------------------
 
 
-def suffix_groups(buffer: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order of their first ``length`` bytes, whether each differs there from the one before)."""
-    n = len(buffer)
+def packed(buffer: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place on as one number, in text order."""
     wide = np.concatenate([buffer, np.zeros(8, np.uint8)]).astype(np.uint64)
-    step = min(8, length)
-    key = np.zeros(n, np.uint64)
-    for i in range(step):
-        key = (key << np.uint64(8)) | wide[i:n + i]
-    order = np.argsort(key, kind="stable")
-    heads = np.append(True, key[order][1:] != key[order][:-1])
-    rank = np.zeros(n + length, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0)) + 1
-    depth = step
-    while depth < length:
+    out = np.zeros(len(buffer), np.uint64)
+    for i in range(8):
+        out = (out << np.uint64(8)) | wide[i:len(buffer) + i]
+    return out
+
+
+def repeated_suffixes(words: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose string of ``length`` bytes stands twice inside segments, in suffix order, and
+    which of them head a group of equal strings.
+
+    ``ends`` has the end of each place's segment.  A string that holds a part which stands
+    once stands once itself; so only runs of places that are tied at the depth reached and
+    long enough for a whole string go on, and the ranks that a run needs lie inside it.
+    """
+    n = len(words)
+    depth = min(8, length)
+    order = np.flatnonzero(ends - np.arange(n) >= depth)
+    key = words[order] >> np.uint64(64 - 8 * depth)
+    at = np.argsort(key)
+    order, key = order[at], key[at]
+    heads = np.append(True, key[1:] != key[:-1])[:len(order)]
+    rank = np.zeros(n, np.int64)
+    while len(order):
+        tied = ~(heads & np.append(heads[1:], True))
+        if depth == length:
+            return order[tied], heads[tied]
         step = min(depth, length - depth)
-        tied = ~heads | ~np.append(heads[1:], True)
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        own = order[at]
-        pair = rank[own] * np.int64(n + 2) + rank[own + step]
-        new = np.argsort(pair, kind="stable")
-        own, pair = own[new], pair[new]
-        order[at] = own
-        fresh = np.append(True, pair[1:] != pair[:-1])
-        heads[at] = fresh
-        rank[own] = np.maximum.accumulate(np.where(fresh, at, 0)) + 1
+        rank[order] = np.maximum.accumulate(np.where(heads, np.arange(len(order)), 0))
+        live = np.zeros(n + 2, np.int8)
+        live[order[tied] + 1] = 1
+        edges = np.flatnonzero(np.diff(live))
+        starts, stops = edges[0::2], edges[1::2]
+        whole = stops - starts > length - depth
+        border = np.zeros(n + 1, np.int8)
+        border[starts[whole]] = 1
+        border[stops[whole] - step] -= 1
+        own = order[np.cumsum(border[:n], dtype=np.int8)[order] == 1]
+        pair = rank[own] * np.int64(n) + rank[own + step]
+        at = np.argsort(pair)
+        order, pair = own[at], pair[at]
+        heads = np.append(True, pair[1:] != pair[:-1])[:len(order)]
         depth += step
     return order, heads
 
 
-def common_prefixes(buffer: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def common_prefixes(words: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of the suffixes at a[i] and b[i] inside their segments.
 
     Where the pair of the next place is the pair of this one moved by one, the prefix is one
     shorter and nothing is compared.
     """
-    at = np.argsort(a, kind="stable")
+    at = np.argsort(a)
     a, b = a[at], b[at]
     limit = np.minimum(ends[a] - a, ends[b] - b)
     head = np.append(True, (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1))[:len(a)]
     first = np.flatnonzero(head)
+    i, j, most = a[first], b[first], limit[first]
     done, open_ = np.zeros(len(first), np.int64), np.arange(len(first))
     while len(open_):
-        i, j = a[first[open_]] + done[open_], b[first[open_]] + done[open_]
-        same = (done[open_] < limit[first[open_]]) & (buffer[np.minimum(i, len(buffer) - 1)] == buffer[np.minimum(j, len(buffer) - 1)])
-        done[open_[same]] += 1
-        open_ = open_[same]
-    chain = np.cumsum(head) - 1
+        differ = words[i[open_] + done[open_]] ^ words[j[open_] + done[open_]]
+        equal = sum((differ >> np.uint64(64 - 8 * k) == 0).astype(np.int64) for k in range(1, 8)) + (differ == 0)
+        done[open_] += equal
+        open_ = open_[(equal == 8) & (done[open_] < most[open_])]
+    done = np.minimum(done, most)
     out = np.empty(len(a), np.int64)
-    out[at] = done[chain] - (a - a[first[chain]])
+    out[at] = done[np.cumsum(head) - 1] - (a - i[np.cumsum(head) - 1])
     return out
 
 
-def repeats_in_shard(segments: list[bytes], length: int = LENGTH) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]:
-    """Covered stretches (segment, start, end) by strings that stand twice in the shard, and
-    the suffix order, group heads and segment number of every distinct place for a later merge."""
+def repeats_in_shard(segments: list[bytes], length: int = LENGTH) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """Stretches (segment, start, end) covered by strings that stand twice in the shard, and one
+    place, counted over all segments, for each distinct string of the shard."""
     buffer = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.array([len(s) for s in segments], np.int64)
     stops = np.cumsum(sizes)
     segment = np.repeat(np.arange(len(segments)), sizes)
     ends = stops[segment]
-    order, heads = suffix_groups(buffer, length)
-    group = np.cumsum(heads) - 1
-    valid = ends[order] - order >= length
-    order, group = order[valid], group[valid]
-    if not len(order):
-        return [], order, group, segment
-    heads = np.append(True, group[1:] != group[:-1])
+    words = packed(buffer)
+    order, heads = repeated_suffixes(words, ends, length)
+    once = ends - np.arange(len(buffer)) >= length
     follows = np.flatnonzero(~heads)
-    spans = []
-    if len(follows):
-        a = np.concatenate([order[follows], order[follows - 1]])
-        b = np.concatenate([order[follows - 1], order[follows]])
-        reach = a + common_prefixes(buffer, ends, a, b)
-        at = np.argsort(a, kind="stable")
-        a, reach = a[at], reach[at]
-        far = np.maximum.accumulate(reach)
-        # a stretch ends where the next place lies behind all that was reached
-        cut = np.flatnonzero(np.append(True, (a[1:] > far[:-1]) | (segment[a[1:]] != segment[a[:-1]])))
-        last = np.append(cut[1:], len(a)) - 1
-        own = segment[a[cut]]
-        base = (stops - sizes)[own]
-        spans = list(zip(own.tolist(), (a[cut] - base).tolist(), (far[last] - base).tolist(), strict=True))
-    return spans, order, group, segment
+    if not len(follows):
+        return [], np.flatnonzero(once)
+    once[order[follows]] = False
+    a, b = order[follows], order[follows - 1]
+    prefix = common_prefixes(words, ends, a, b)
+    a = np.concatenate([a, b])
+    reach = a + np.concatenate([prefix, prefix])
+    at = np.argsort(a)
+    a, far = a[at], np.maximum.accumulate(reach[at])
+    # a stretch ends where the next place lies behind all that was reached
+    cut = np.flatnonzero(np.append(True, (a[1:] > far[:-1]) | (segment[a[1:]] != segment[a[:-1]])))
+    own = segment[a[cut]]
+    base = (stops - sizes)[own]
+    last = far[np.append(cut[1:], len(a)) - 1]
+    return list(zip(own.tolist(), (a[cut] - base).tolist(), (last - base).tolist(), strict=True)), np.flatnonzero(once)
 
 
 # -- the job ----------------------------------------------------------------------------------
 
 
 def _segments(docs: DataFrame, text_col: str, asked: DataFrame, length: int, gram: int) -> DataFrame:
-    """shard, salt, k, n, start, data: the united surroundings of the asked places in each shard."""
-    texts = _texts(docs, text_col, asked.select("k"), length)
-
-    def cut(group: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(group) and len(text):
-            data, by = {len(t): t for t in text["data"]}, group.sort_values(["n", "shard", "salt", "pos"])
-            now: list | None = None
-            for k, n, shard, salt, pos in by[["k", "n", "shard", "salt", "pos"]].itertuples(index=False):
-                low, high = max(0, pos - (length - gram)), min(n, pos + length)
-                if now and now[:4] == [shard, salt, k, n] and low <= now[5]:
-                    now[5] = max(now[5], high)
-                else:
-                    now = [shard, salt, k, n, low, high]
-                    rows.append(now)
-            rows = [(s, t, k, n, a, data[n][a:b]) for s, t, k, n, a, b in rows if n in data]
-        return pd.DataFrame(rows, columns=["shard", "salt", "k", "n", "start", "data"])
-
-    return asked.groupBy("k").cogroup(texts.groupBy("k")).applyInPandas(
-        cut, "shard long, salt long, k long, n long, start long, data binary")
+    """shard, salt, parts, k, n, start, data: the united surroundings of the asked places in each shard."""
+    columns = ("shard", "salt", "parts", "pos")
+    listed = asked.groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("s"))
+    met = listed.select("k", "n", *(F.col(f"s.{c}").alias(c) for c in columns)).join(
+        _texts(docs, text_col, asked.select("k"), length), ["k", "n"])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, n, shards, salts, parts, places, data in batch[["k", "n", *columns, "data"]].itertuples(index=False):
+                now: list = [None]
+                for shard, salt, part, pos in zip(shards.tolist(), salts.tolist(), parts.tolist(), places.tolist(), strict=True):
+                    low, high = max(0, pos - (length - gram)), min(n, pos + length)
+                    if now[0] == shard and now[1] == salt and low <= now[4]:
+                        now[4] = max(now[4], high)
+                    else:
+                        now = [shard, salt, part, low, high]
+                        rows.append((now, k, n, data))
+            yield pd.DataFrame([(*r[:3], k, n, r[3], data[r[3]:r[4]]) for r, k, n, data in rows],
+                               columns=["shard", "salt", "parts", "k", "n", "start", "data"])
+
+    return met.mapInPandas(cut, "shard long, salt long, parts long, k long, n long, start long, data binary")
 
 
 def _texts(docs: DataFrame, text_col: str, keys: DataFrame, length: int) -> DataFrame:
@@ -258,32 +274,33 @@ def _texts(docs: DataFrame, text_col: str, keys: DataFrame, length: int) -> Data
 
 
 def _in_shards(segments: DataFrame, length: int) -> DataFrame:
-    """k, n, start, end of stretches repeated in a shard; and, where a shard is one of several
-    for its minimizers, sorted runs of its distinct strings (kind 1)."""
+    """k, n, start, end of stretches repeated in a shard; and, where a minimizer has several
+    shards, the shard's distinct strings as sorted runs, one for each part (kind 1)."""
+    columns = ["kind", "k", "n", "start", "end", "shard", "part", "one", "two", "ks", "ns", "at"]
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         data = group["data"].tolist()
-        spans, order, groups, segment = repeats_in_shard(data, length)
+        spans, once = repeats_in_shard(data, length)
         ks, ns, starts = group["k"].to_numpy(), group["n"].to_numpy(), group["start"].to_numpy()
         rows = [(0, int(ks[s]), int(ns[s]), int(starts[s]) + a, int(starts[s]) + b, 0, 0, b"", b"", b"", b"", b"") for s, a, b in spans]
-        salt = int(group["salt"].iloc[0])
-        if salt and len(order):
+        shard, salt, parts = (int(group[c].iloc[0]) for c in ("shard", "salt", "parts"))
+        if salt and len(once):
             rolling = RollingHash()
             rolling.load(np.frombuffer(b"".join(data), np.uint8))
-            first = np.append(True, groups[1:] != groups[:-1])
-            place = order[first]
-            one, two = rolling.spans(place, place + length), mix(rolling.spans(place, place + length // 2))
-            two ^= rolling.spans(place + length // 2, place + length)
-            seg = segment[place]
-            offset = place - (np.cumsum([len(d) for d in data]) - [len(d) for d in data])[seg] + starts[seg]
+            middle = once + length // 2
+            one = rolling.spans(once, once + length)
+            two = mix(rolling.spans(once, middle)) ^ rolling.spans(middle, once + length)
+            stops = np.cumsum([len(d) for d in data])
+            own = np.searchsorted(stops, once, side="right")
+            place = once - (stops - [len(d) for d in data])[own] + starts[own]
             at = np.argsort(one)
-            part = (one[at] >> np.uint64(60)).astype(int)
-            borders = np.searchsorted(part, np.arange(17))
-            for p in range(16):
-                pick = at[borders[p]:borders[p + 1]]
+            part = (two % np.uint64(parts))[at]
+            for p in range(parts):
+                pick = at[part == p]
                 if len(pick):
-                    rows.append((1, 0, 0, 0, 0, int(group["shard"].iloc[0]), p, one[pick].tobytes(), two[pick].tobytes(),
-                                 ks[seg[pick]].tobytes(), ns[seg[pick]].tobytes(), offset[pick].tobytes()))
-        return pd.DataFrame(rows, columns=["kind", "k", "n", "start", "end", "shard", "part", "one", "two", "ks", "ns", "at"])
+                    rows.append((1, 0, 0, 0, 0, shard, p, one[pick].tobytes(), two[pick].tobytes(),
+                                 ks[own[pick]].tobytes(), ns[own[pick]].tobytes(), place[pick].tobytes()))
+        return pd.DataFrame(rows, columns=columns)
 
     return segments.groupBy("shard", "salt").applyInPandas(
         run, "kind int, k long, n long, start long, end long, shard long, part int, one binary, two binary, ks binary, ns binary, at binary")
@@ -319,7 +336,13 @@ def _across_shards(runs: DataFrame, length: int) -> DataFrame:
             ("one", np.uint64), ("two", np.uint64), ("ks", np.int64), ("ns", np.int64), ("at", np.int64)))
         many = np.concatenate(merge_runs(list(zip(one, two, strict=True))))
         ks, ns, at = np.concatenate(ks)[many], np.concatenate(ns)[many], np.concatenate(at)[many]
-        return pd.DataFrame({"k": ks, "n": ns, "start": at, "end": at + length})
+        order = np.lexsort((at, ns, ks))
+        ks, ns, at = ks[order], ns[order], at[order]
+        # strings of one text that overlap or touch are one stretch
+        fresh = np.append(True, (ks[1:] != ks[:-1]) | (ns[1:] != ns[:-1]) | (at[1:] > at[:-1] + length))[:len(at)]
+        cut = np.flatnonzero(fresh)
+        last = np.append(cut[1:], len(at))[:len(cut)] - 1
+        return pd.DataFrame({"k": ks[cut], "n": ns[cut], "start": at[cut], "end": at[last] + length})
 
     return runs.groupBy("shard", "part").applyInPandas(run, "k long, n long, start long, end long")
 
@@ -330,6 +353,7 @@ def covered(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     places = cut_lineage(_places(docs, text_col, length, gram)).withColumn("occ", F.xxhash64("k", "n", "pos"))
     by_gram = places.groupBy("h").agg(F.min("occ").alias("o1"), F.max("occ").alias("o2"), F.min("around").alias("a1"),
                                       F.max("around").alias("a2")).filter("o1 <> o2")
+    by_gram = cut_lineage(by_gram)  # both sides of the join are then exchanges, which adaptive execution can split
     shared = cut_lineage(places.join(by_gram.select("h", (F.col("a1") != F.col("a2")).alias("several")), "h"))
     alike = shared.groupBy("h", "around", "several").agg(F.min("occ").alias("o1"), F.max("occ").alias("o2"))
     low, high = F.greatest(F.lit(0), F.col("pos") - (length - gram)), F.least(F.col("n"), F.col("pos") + length)
@@ -341,11 +365,12 @@ def covered(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     kinds = one_each.groupBy("h").agg(F.count("*").alias("kinds"))
     shards = max(1, one_each.count() * 2 * length // shard_bytes)
     # a minimizer with too many surroundings has shards of its own, numbered below zero, and salts from 1
-    salts = F.ceil(F.col("kinds") / shard_places)
+    parts = F.ceil(F.col("kinds") / shard_places)
     crowded = F.col("kinds") > shard_places
     asked = one_each.join(kinds, "h").select(
         "k", "n", "pos", F.when(crowded, -1 - F.pmod(F.xxhash64("h"), F.lit(2 ** 40))).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards))).alias("shard"),
-        F.when(crowded, 1 + F.pmod(F.xxhash64("around"), salts)).otherwise(F.lit(0)).cast("long").alias("salt"))
+        F.when(crowded, 1 + F.pmod(F.xxhash64("around"), parts)).otherwise(F.lit(0)).cast("long").alias("salt"),
+        F.when(crowded, parts).otherwise(F.lit(0)).cast("long").alias("parts"))
     found = cut_lineage(_in_shards(_segments(docs, text_col, asked, length, gram), length))
     inside = found.filter("kind = 0").select("k", "n", "start", "end")
     across = _across_shards(found.filter("kind = 1"), length)
