@@ -50,7 +50,8 @@ def shingle_sets(texts: list[str], powers: Powers, width: int = WIDTH) -> list[n
     hashes, n_words = word_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts], powers)
     rolled = hashes.copy()
     for k in range(1, width):
-        rolled[:len(rolled) - k] = mix(rolled[:len(rolled) - k] * np.uint64(STEP) + hashes[k:])
+        m = max(0, len(rolled) - k)
+        rolled[:m] = mix(rolled[:m] * np.uint64(STEP) + hashes[k:])
     sets, at = [], 0
     for n in n_words.tolist():
         if n >= width:
