@@ -8,12 +8,13 @@ fragments; each fragment's postings meet in one task that keeps shingles of two
 more.  Candidate pairs are counted exactly: their sets are cut into fragments of the same
 order, overlaps are counted for each fragment on its own and summed per pair.
 
-A group of near copies is not expanded into its pairs.  First every class is paired with one
-leader, the smallest set of the bucket that it shares most with; verified links join
-classes to components.  Then only pairs whose classes lie in different components are
-candidates.  Links inside a component change no result, so none that matters is lost.  Of
-the two prefixes the one that ends first in the order holds all common shingles up to there,
-so the number of shared prefix shingles bounds the overlap, and most candidates end there.
+A group of near copies is not expanded into its pairs.  In some rounds every class is paired
+only with a hub: of each bucket the class that comes first in a random order of the round, so
+that a group meets few hubs.  Verified links join classes to components, and buckets that lie
+in one component are done.  Then all pairs across components are candidates.  Links inside a
+component change no result, so none that matters is lost.  Of two prefixes the one that ends
+first in the order holds all common shingles up to there, so the number of shared prefix
+shingles bounds the overlap, and most candidates end there.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer
 words than a shingle make one shingle of the whole sequence; rows that repeat an id are all
@@ -23,6 +24,7 @@ listed; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -43,6 +45,8 @@ GATHERED, DOCS_A_FRAGMENT = 2_000_000, 4000
 #: Fragments that a set is cut into when overlaps are counted: one for so many shingles.
 COUNT_FRAGMENTS = 16
 SEEN = 1_000_000
+#: Rounds with hubs, and random orders in each.
+ROUNDS, ORDERS = 3, 2
 
 
 def shingle_sets(texts: list[str], powers: Powers, width: int = WIDTH) -> list[np.ndarray]:
@@ -153,7 +157,7 @@ def _frequent(docs: DataFrame, text_col: str, width: int, bits: int, frequent: i
 
 
 def _shared(docs: DataFrame, text_col: str, width: int, percent: int, bits: int, tops: np.ndarray, levels: np.ndarray) -> DataFrame:
-    """token, cls, n, leader, leader_n for prefix shingles that two classes or more hold."""
+    """token, cls, n for prefix shingles that two classes or more hold."""
     order = docs.sparkSession.sparkContext.broadcast((tops, levels))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,25 +206,41 @@ def _shared(docs: DataFrame, text_col: str, width: int, percent: int, bits: int,
         heads = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
         sizes = np.diff(np.append(heads, len(tokens)))
         several = np.repeat(sizes > 1, sizes)
-        leads = np.repeat(heads, sizes)[several]
-        return pd.DataFrame({"token": tokens[several].view(np.int64), "cls": cls[several], "n": n[several].astype(np.int64),
-                             "leader": cls[leads], "leader_n": n[leads].astype(np.int64)})
+        return pd.DataFrame({"token": tokens[several].view(np.int64), "cls": cls[several], "n": n[several].astype(np.int64)})
 
     packed = docs.select(text_col).mapInPandas(send, "f int, tokens binary, cls binary, n binary")
-    return cut_lineage(packed.groupBy("f").applyInPandas(meet, "token long, cls long, n long, leader long, leader_n long"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, a_n, b, b_n) whose sets are within the threshold, by overlaps summed over fragments."""
-    pairs = cut_lineage(pairs)
-    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(
-        pairs.select(F.explode(F.array("a", "b")).alias("cls")), F.col("cls")))
-    tokens = cut_lineage(_sets(docs, text_col, width, wanted))
-    left = pairs.join(tokens.select(F.col("cls").alias("a"), "f", F.col("tokens").alias("x")), "a")
-    met = left.join(tokens.select(F.col("cls").alias("b"), "f", F.col("tokens").alias("y")), ["b", "f"])
-    counted = met.select("a", "a_n", "b", "b_n", F.size(F.array_intersect("x", "y")).alias("part"))
-    whole = counted.groupBy("a", "a_n", "b", "b_n").agg(F.sum("part").alias("both"))
-    return whole.filter(100 * F.col("both") >= percent * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("a", "b")
+    return cut_lineage(packed.groupBy("f").applyInPandas(meet, "token long, cls long, n long"))
+
+
+class _Verifier:
+    """Counts overlaps of pairs; sets that were made for earlier pairs are used again."""
+
+    def __init__(self, docs: DataFrame, text_col: str, width: int, percent: int):
+        self._docs, self._text, self._width, self._percent = docs, text_col, width, percent
+        self._made: DataFrame | None = None
+
+    def _tokens(self, pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        if self._made is not None:
+            needed = needed.join(self._made.select("cls"), "cls", "left_anti")
+        needed = cut_lineage(needed)
+        if self._made is None or not needed.isEmpty():
+            wanted = self._docs.sparkSession.sparkContext.broadcast(key_filter(needed, F.col("cls")))
+            fresh = _sets(self._docs, self._text, self._width, wanted).join(needed, "cls", "left_semi")
+            fresh = cut_lineage(fresh)
+            self._made = fresh if self._made is None else self._made.unionByName(fresh)
+        return self._made
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """a, b of the pairs (a, a_n, b, b_n) within the threshold: overlaps of each fragment, summed."""
+        pairs = cut_lineage(pairs)
+        tokens = self._tokens(pairs)
+        left = pairs.join(tokens.select(F.col("cls").alias("a"), "f", F.col("tokens").alias("x")), "a")
+        met = left.join(tokens.select(F.col("cls").alias("b"), "f", F.col("tokens").alias("y")), ["b", "f"])
+        counted = met.select("a", "a_n", "b", "b_n", F.size(F.array_intersect("x", "y")).alias("part"))
+        whole = counted.groupBy("a", "a_n", "b", "b_n").agg(F.sum("part").alias("both"))
+        near = 100 * F.col("both") >= self._percent * (F.col("a_n") + F.col("b_n") - F.col("both"))
+        return cut_lineage(whole.filter(near).select("a", "b"))
 
 
 def _sets(docs: DataFrame, text_col: str, width: int, wanted) -> DataFrame:
@@ -271,6 +291,36 @@ def _enough(shared: str, a_n: str, b_n: str, percent: int) -> Column:
     return F.col(shared) >= F.greatest(F.lit(1), needed - left)
 
 
+def _open_rows(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """The postings of shingles whose classes lie in two components or more, with the component."""
+    owned = shared.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = owned.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
+    return cut_lineage(owned.join(mixed, "token"))
+
+
+def _near(a_n: str, b_n: str, percent: int) -> Column:
+    return 100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n)
+
+
+def _hub_pairs(rows: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Every class with the hub of another component that it shares most prefix shingles with."""
+    ranked = rows.withColumn("r", F.xxhash64("cls", F.lit(seed)))
+    least = ranked.groupBy("token").agg(F.min("r").alias("r"))
+    hubs = ranked.join(least, ["token", "r"]).select("token", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
+    met = rows.join(hubs, "token").filter((F.col("component") != F.col("a_c")) & _near("a_n", "n", percent))
+    shares = met.groupBy("a", "a_n", F.col("cls").alias("b"), F.col("n").alias("b_n")).agg(F.count("*").alias("c"))
+    best = shares.filter(_enough("c", "a_n", "b_n", percent)).groupBy("b", "b_n").agg(F.max(F.struct("c", "a", "a_n")).alias("m"))
+    return best.select("m.a", "m.a_n", "b", "b_n")
+
+
+def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components that can still reach the threshold."""
+    x = rows.select("token", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
+    y = rows.select("token", F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
+    across = x.join(y, "token").filter((F.col("a_c") != F.col("b_c")) & (F.col("a") < F.col("b")) & _near("a_n", "b_n", percent))
+    return across.groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("c")).filter(_enough("c", "a_n", "b_n", percent)).drop("c")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
          frequent: int = FREQUENT, listed: int = LISTED) -> DataFrame:
     """Per document: id, n_shingles, component_id (the smallest id reachable by links)."""
@@ -279,27 +329,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     tops, levels = _frequent(docs, text_col, width, bits, frequent, listed)
     shared = _shared(docs, text_col, width, percent, bits, tops, levels)
 
-    def near(small, large):
-        return 100 * F.col(small) >= percent * F.col(large)
-
-    led = shared.filter(F.col("cls") != F.col("leader")).filter(near("leader_n", "n"))
-    best = led.groupBy("cls", "n", "leader", "leader_n").agg(F.count("*").alias("c")).filter(
-        _enough("c", "leader_n", "n", percent)).groupBy("cls", "n").agg(
-        F.max(F.struct("c", "leader", "leader_n")).alias("m"))
-    first = cut_lineage(_verified(docs, best.select(
-        F.col("m.leader").alias("a"), F.col("m.leader_n").alias("a_n"), F.col("cls").alias("b"), F.col("n").alias("b_n")), text_col, width, percent))
-    early = components(first)
-    owned = cut_lineage(shared.select("token", "cls", "n").join(early.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-        "component", F.coalesce("component", "cls")))
-    mixed = owned.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    open_rows = owned.join(mixed, "token")
-    x = open_rows.select("token", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
-    y = open_rows.select("token", F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
-    across = x.join(y, "token").filter((F.col("a_c") != F.col("b_c")) & near("a_n", "b_n") & (
-        (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))))
-    candidates = across.groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("c")).filter(_enough("c", "a_n", "b_n", percent)).drop("c")
-    second = _verified(docs, candidates, text_col, width, percent)
-    final = components(first.unionByName(second))
+    verifier = _Verifier(docs, text_col, width, percent)
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    rows = _open_rows(shared, components(links))
+    for turn in range(ROUNDS):
+        pairs = [_hub_pairs(rows, turn * ORDERS + i, percent) for i in range(ORDERS)]
+        found = verifier.links(reduce(DataFrame.unionByName, pairs).distinct())
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        rows = _open_rows(shared, components(links))
+    links = links.unionByName(verifier.links(_all_pairs(rows, percent)))
+    final = components(links)
     met = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     met = cut_lineage(met)
     least = met.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
