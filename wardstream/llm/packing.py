@@ -28,8 +28,9 @@ from .common import rank_in_groups
 LIMIT = 2048
 END = 0
 #: Distinct words whose tokens a task remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
-#: Characters that Python splits on though the tokenizer's white space lacks them.
+REMEMBERED = 500_000
+#: Marks that may end a word; characters that Python splits on though the tokenizer's white space lacks them.
+MARKS = ".,;:!?"
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -37,7 +38,9 @@ class WordEncoder:
     """Token ids of a text as little-endian 32-bit words.
 
     The tokenizer never joins characters over white space, so the tokens of a text are
-    those of its words, and a word is encoded once per task.
+    those of its words, and a word is encoded once per task.  It also cuts between letters
+    and a mark, and lower-cases one character at a time; so a word of letters before one mark
+    is put together from the lower-case word and the mark.
     """
 
     def __init__(self, path: str):
@@ -47,23 +50,38 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
 
-    def _encode(self, text: str) -> bytes:
-        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        core, mark = (word[:-1], word[-1]) if word[-1] in MARKS else (word, "")
+        if not core.isalpha() or "\u03a3" in core:  # only the final form of this letter depends on its place
+            return word, ""
+        return core.lower(), mark
+
+    def learn(self, texts: list[str]) -> None:
+        """Encodes the new words of a batch of texts in one call."""
+        known = self._known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = {w for t in texts for w in t.split() if w not in known}
+        parts = {w: self._parts(w) for w in new}
+        missing = [w for w in {p for pair in parts.values() for p in pair if p} if w not in known]
+        known.update(zip(missing, self._encode(missing), strict=True))
+        known[""] = b""
+        known.update((w, known[core] + known[mark]) for w, (core, mark) in parts.items())
 
     def __call__(self, text: str) -> bytes:
         if any(c in text for c in ODD_SPACES):
-            return self._encode(text)
-        known, parts = self._known, text.split()
+            return self._encode([text])[0]
+        known, words = self._known, text.split()
         try:
-            return b"".join([known[w] for w in parts])
+            return b"".join([known[w] for w in words])
         except KeyError:
-            missing = {w for w in parts if w not in known}
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = set(parts)
-            known.update((w, self._encode(w)) for w in missing)
-            return b"".join([known[w] for w in parts])
+            self.learn([text])
+            return b"".join([self._known[w] for w in words])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -76,6 +94,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         encode, end = WordEncoder(tokenizer_path), struct.pack("<I", END)
         for batch in batches:
             rows = []
+            encode.learn([t for t in batch.iloc[:, 1] if t])
             for key, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
                 ids = (encode(text) if text else b"") + end
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
