@@ -30,7 +30,7 @@ END = 0
 #: Distinct words whose tokens a task remembers; beyond it the memory starts anew.
 REMEMBERED = 500_000
 #: Marks that may end a word; characters that Python splits on though the tokenizer's white space lacks them.
-MARKS = ".,;:!?"
+MARKS = ".,;:!?&*#$%|"
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -39,7 +39,7 @@ class WordEncoder:
 
     The tokenizer never joins characters over white space, so the tokens of a text are
     those of its words, and a word is encoded once per task.  It also cuts between letters
-    and a mark, and lower-cases one character at a time; so a word of letters before one mark
+    and marks, and lower-cases one character at a time; so a word of letters before one mark
     is put together from the lower-case word and the mark.
     """
 
@@ -56,10 +56,10 @@ class WordEncoder:
 
     @staticmethod
     def _parts(word: str) -> tuple[str, str]:
-        core, mark = (word[:-1], word[-1]) if word[-1] in MARKS else (word, "")
-        if not core.isalpha() or "\u03a3" in core:  # only the final form of this letter depends on its place
-            return word, ""
-        return core.lower(), mark
+        core = word.rstrip(MARKS)
+        low = core.lower()
+        # one letter's lower case depends on its place, and some letters' lower case has a mark of its own
+        return (low, word[len(core):]) if core.isalpha() and low.isalpha() and "\u03a3" not in core else (word, "")
 
     def learn(self, texts: list[str]) -> None:
         """Encodes the new words of a batch of texts in one call."""
