@@ -51,7 +51,7 @@ def report(text: Column, patterns: dict[str, str] | None = None) -> Column:
         none = F.lit(0).cast("long")
         untouched = F.struct(t.alias("text"), F.array().cast("array<string>").alias("types"),
                              none.alias("count"), none.alias("made"))
-        return F.when(t.rlike("[0-9@]"), fold(0, t, [t], [])).otherwise(untouched)
+        return F.when(t.rlike(r"(?U)[\d@]"), fold(0, t, [t], [])).otherwise(untouched)
 
     return let(text, whole)
 

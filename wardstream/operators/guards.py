@@ -70,14 +70,15 @@ def contradiction_label(contradicts: Column, consistent: Column) -> Column:
     return F.when(contradicts > consistent, F.lit("contradicts policy")).otherwise(F.lit("consistent with policy"))
 
 
-def output_guard(responses: DataFrame) -> DataFrame:
+def output_guard(responses: DataFrame, has_policy: Column | None = None) -> DataFrame:
     """Adds ``out_action``, ``out_reason``, ``out_confidence``.
 
+    Without a policy (``has_policy`` false) the contradiction score is not asked.
     Reads ``rule_reason`` (the first broken rule), ``contra_score``, ``out_judge_action``,
     ``out_judge_reason`` and ``out_judge_confidence``.
     """
     rule = F.col("rule_reason").isNotNull()
-    contra = contradiction_gate(F.col("contra_score"))
+    contra = contradiction_gate(F.col("contra_score"), has_policy)
     return responses.withColumns({
         "out_action": F.when(rule | contra, "BLOCK").otherwise(F.coalesce("out_judge_action", F.lit("BLOCK"))),
         "out_reason": F.when(rule, F.col("rule_reason")).when(

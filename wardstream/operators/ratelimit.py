@@ -169,7 +169,10 @@ def _chain(capacity: int, refill: int):
 def replay(requests: DataFrame, key: str, ts: str, row_id: str,
            capacity: int = fixed.BUCKET_CAPACITY, refill_tokens: int = fixed.BUCKET_REFILL_TOKENS,
            refill_seconds: int = fixed.BUCKET_REFILL_SECONDS, hot_ticks: int = HOT_TICKS) -> DataFrame:
-    """Adds ``allowed``: the bucket's answer to each request in (time, id) order."""
+    """Adds ``allowed``: the bucket's answer to each request in (time, id) order.
+
+    Requests without a key share one bucket.
+    """
     cost, refill = refill_seconds * 1_000_000, refill_tokens
     full = capacity * cost
     stamped = requests.withColumn("ts_us", F.unix_micros(F.col(ts).cast("timestamp")))
@@ -193,14 +196,17 @@ def replay(requests: DataFrame, key: str, ts: str, row_id: str,
     )
     # At one microsecond a bucket grants at most its capacity, first ids first.
     rank = F.row_number().over(W.partitionBy(key, "ts_us").orderBy(row_id))
-    granted = granted.withColumnRenamed("_key", key)
+    granted = granted.withColumnRenamed("ts_us", "_us")
+
+    def met(rows: DataFrame) -> DataFrame:
+        same = rows[key].eqNullSafe(granted["_key"]) & (rows["ts_us"] == granted["_us"])
+        return rows.join(granted, same).drop("_key", "_us")
+
     if (thickest or 0) <= capacity:
-        ranked = stamped.withColumn("_rank", rank)
-        return ranked.join(granted, [key, "ts_us"]).withColumn(
+        return met(stamped.withColumn("_rank", rank)).withColumn(
             "allowed", F.col("_rank") <= F.col("granted")).drop("ts_us", "_rank", "granted")
     early = stamped.select(row_id, key, "ts_us").withColumn("_rank", rank).filter(F.col("_rank") <= capacity)
-    winners = early.join(granted, [key, "ts_us"]).filter(F.col("_rank") <= F.col("granted")).select(
-        row_id, F.lit(True).alias("_won"))
+    winners = met(early).filter(F.col("_rank") <= F.col("granted")).select(row_id, F.lit(True).alias("_won"))
     return stamped.join(winners, row_id, "left").withColumn(
         "allowed", F.coalesce("_won", F.lit(False))).drop("ts_us", "_won")
 

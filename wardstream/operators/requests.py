@@ -66,7 +66,8 @@ def verdicts(requests: DataFrame, vectors: DataFrame, cached: DataFrame, rules:
     df = guards.input_guard(df, "_guarded", "raw_prompt").drop("_guarded")
     answered = F.when(alive & ~F.col("in_action").isin("BLOCK", "REVIEW") & F.col("llm_available"), F.col("text"))
     df = rule_ops.with_violation(df.withColumn("_answer", answered), rules, "id", "_answer")
-    return guards.staged_verdict(guards.output_guard(df)).drop("_answer", "rule_reason")
+    has_policy = F.lit(not rules.filter("length(description) > 0").isEmpty())
+    return guards.staged_verdict(guards.output_guard(df, has_policy)).drop("_answer", "rule_reason")
 
 
 def audit_fields(decided: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ def ingest(rules: DataFrame) -> DataFrame:
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
     trimmed = F.btrim("description", F.lit(fixed.WHITESPACE))
     reason = (
-        F.when(~F.col("target_field").rlike(fixed.RULE_FIELD_PATTERN), "target_field")
-        .when(~F.col("operator").isin(*fixed.RULE_OPERATORS), "operator")
+        F.when(~F.coalesce(F.col("target_field").rlike(fixed.RULE_FIELD_PATTERN), F.lit(False)), "target_field")
+        .when(~F.coalesce(F.col("operator").isin(*fixed.RULE_OPERATORS), F.lit(False)), "operator")
         .when(~finite, "rule_value")
         .when(F.length(trimmed) > fixed.MAX_DESCRIPTION_CHARS, "description")
     )
@@ -158,7 +158,7 @@ def learned(blocked: DataFrame, mined: DataFrame, log_id: str) -> DataFrame:
 
 def latest_status(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Suggestions with their newest decided status; ``decisions`` is ``(id, status, decided_at)``."""
-    newest = decisions.groupBy("id").agg(F.max_by("status", "decided_at").alias("_status"))
+    newest = decisions.groupBy("id").agg(F.max(F.struct("decided_at", "status")).getField("status").alias("_status"))
     return suggestions.join(newest, "id", "left").withColumn(
         "status", F.coalesce("_status", "status")).drop("_status")
 
@@ -170,11 +170,12 @@ def pending(suggestions: DataFrame) -> DataFrame:
 def promote(rules: DataFrame, suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Active rules plus one rule per suggestion approved at least once.
 
-    New rules get ids from the suggestion id so that a second approval adds nothing.
+    A new rule has the id ``-1 - suggestion id``: it meets no older rule's, and a second
+    approval adds nothing.
     """
     approved = decisions.filter(F.col("status") == "approved").select("id").distinct()
     added = suggestions.join(approved, "id", "left_semi").select(
-        F.lit(None).cast("long").alias("id"), "target_field", "operator",
+        (-1 - F.col("id").cast("long")).alias("id"), "target_field", "operator",
         F.col("suggested_value").alias("rule_value"), "description", F.col("id").alias("source_suggestion"))
     return rules.withColumn("source_suggestion", F.lit(None).cast("long")).unionByName(added)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, vectors
 from .skew import lookup_join
 
+SLICE = 1024  # vectors scored at a time, so the score matrix stays within some 40 MB
 DIGITS = 9  # similarities are compared after rounding, so equal vectors tie
 
 
@@ -49,6 +50,11 @@ class _Index:
         """Best entry position and similarity per vector; position -1 where none is eligible."""
         if not len(self.ids):
             return np.full(len(values), -1), np.full(len(values), np.nan)
+        if len(values) > SLICE:
+            cuts = range(0, len(values), SLICE)
+            parts = [self.best(values[i:i + SLICE], None if before is None else before[i:i + SLICE],
+                               None if skip is None else skip[i:i + SLICE]) for i in cuts]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         sims = np.round(_unit_rows(values) @ self.matrix.T, DIGITS)
         if before is not None:
             sims[np.arange(len(self.ids))[None, :] >= np.searchsorted(self.orders, before)[:, None]] = -np.inf
@@ -60,9 +66,8 @@ class _Index:
 
 
 def _collect_index(entries: DataFrame, row_id: str, order: str, embedding: str, capacity: int) -> _Index:
-    rows = entries.select(row_id, order, embedding).orderBy(order, row_id).limit(capacity + 1).collect()
-    if len(rows) > capacity:
-        raise ValueError(f"the cache may hold at most {capacity} entries")
+    """The first ``capacity`` entries in insertion order; a full cache skips later ones."""
+    rows = entries.select(row_id, order, embedding).orderBy(order, row_id).limit(capacity).collect()
     return _Index([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
 
 

@@ -10,8 +10,8 @@ SALTS = 32
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True if ``df`` has at most ``max_rows`` rows; the count is combined before it is shuffled."""
+    return df.count() <= max_rows
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str, spread: Column,

@@ -40,7 +40,7 @@ def events(audit: DataFrame) -> DataFrame:
         "_susp": F.coalesce(san("suspicious") == "true", F.lit(False)),
         "_types": F.from_json(san("detected_types"), "array<string>"),
         "_why": F.coalesce(val("reason"), san("reason")),
-        "_conf": F.coalesce(val("confidence"), san("confidence")).cast("double"),
+        "_conf": F.coalesce(val("confidence"), san("confidence")).try_cast("double"),
     })
     taken, sanitised = F.coalesce("_taken", F.lit("")), F.coalesce("_san", F.lit(""))
     cleaned = (sanitised == "SANITIZE") | F.col("_pii")
@@ -120,7 +120,11 @@ def suggestion_bands(suggestions: DataFrame) -> DataFrame:
 
 
 def stage_trace(verdicts: DataFrame, row_id: str = "id") -> DataFrame:
-    """Per request and stage: pass, block, warn or skip, inferred from status and reason."""
+    """Per request and stage: pass, block, warn or skip.
+
+    The deciding ``stage`` says where a request ended.  Verdicts without that column are read
+    from status and reason.
+    """
     why = F.lower(F.coalesce("reason", F.lit("")))
     status = F.col("status")
 
@@ -146,4 +150,16 @@ def stage_trace(verdicts: DataFrame, row_id: str = "id") -> DataFrame:
         .when(status == 202, trace("pass", "pass", "pass", "warn", *["skip"] * 3))
         .otherwise(trace(*["pass"] * 7))
     )
+    if "stage" in verdicts.columns:
+        places = {"shape": 0, "normalise": 1, "rate_limit": 1, "session": 2, "input": 3, "llm": 4, "output": 6}
+        result = F.when(status == 202, "warn").otherwise("block")
+        place = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])
+        at = F.coalesce(F.try_element_at(place, "stage"), F.lit(len(STAGES) + 1))
+        # a throttled request passed normalisation and went no further; a cached one skips all after that
+        at = F.when(F.col("stage").isin("rate_limit", "cache"), F.lit(2)).otherwise(at)
+        result = F.when(F.col("stage").isin("rate_limit", "cache"), "skip").otherwise(result)
+        traces = F.array(*[
+            F.struct(F.lit(i).alias("stage_no"), F.lit(n).alias("stage"),
+                     F.when(F.lit(i) < at, "pass").when(F.lit(i) == at, result).otherwise("skip").alias("outcome"))
+            for i, n in enumerate(["Input Validation", *STAGES])])
     return verdicts.select(row_id, F.inline(traces))

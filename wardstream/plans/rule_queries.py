@@ -196,7 +196,7 @@ def pending_suggestions(spark, folder):
 
 @query("promoted_rules", f"""
     SELECT id, target_field, operator, rule_value, description, CAST(NULL AS BIGINT) AS source_suggestion FROM ({_RULES_SQL})
-    UNION ALL SELECT CAST(NULL AS BIGINT), target_field, operator, suggested_value, description, id FROM ({_SUGGESTED_SQL})
+    UNION ALL SELECT CAST(-1 - id AS BIGINT), target_field, operator, suggested_value, description, id FROM ({_SUGGESTED_SQL})
     WHERE id IN (SELECT id FROM ({_DECIDED_SQL}) WHERE status = 'approved')""")
 def promoted_rules(spark, folder):
     return rules.promote(_rules(spark, folder), _suggestions(spark, folder), _decisions(spark, folder))

@@ -295,17 +295,17 @@ def prompt_variant(spark, folder):
 @query("assembled_prompts", f"""
     WITH k AS (SELECT *, min(turn) FILTER (WHERE role = 'system') OVER (PARTITION BY conv_id) AS st,
             count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
-    t AS (SELECT * FROM k WHERE n <= 7)
+    t AS (SELECT * FROM k)
     SELECT conv_id, turn, role, CASE WHEN turn = st THEN {_VARIANT_TEXT} ||
         {_case('(conv_id * 104729 + 7) % 4', assembly.SEPARATORS)} || coalesce(text, '') ELSE text END AS text FROM t
     UNION ALL SELECT DISTINCT conv_id, -1, 'system', {_VARIANT_TEXT} FROM t WHERE st IS NULL""")
 def assembled_prompts(spark, folder):
-    return assembly.assemble(table(spark, folder, "conversations"), 7)
+    return assembly.assemble(table(spark, folder, "conversations"))
 
 
 @query("shuffled_pairs", """
     WITH k AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
-    mid AS (SELECT *, lead(role) OVER w AS nx, lag(role) OVER w AS pv FROM k WHERE i > 0 AND i < n - 1 AND n <= 7
+    mid AS (SELECT *, lead(role) OVER w AS nx, lag(role) OVER w AS pv FROM k WHERE i > 0 AND i < n - 1
         WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     pairs AS (SELECT *, CASE WHEN role = 'user' AND nx = 'assistant' THEN i WHEN role = 'assistant' AND pv = 'user' THEN i - 1 END AS p FROM mid),
     placed AS (
@@ -313,8 +313,8 @@ def assembled_prompts(spark, folder):
             CASE WHEN p IS NULL THEN 0 ELSE ((conv_id * 31 + 7) * (p * 17 + 3)) % 1009 END AS h, coalesce(p, i) AS q
         FROM pairs WHERE n >= 4 AND (conv_id * 31 + 5) % 2 = 0
         UNION ALL SELECT conv_id, turn, role, text, i, CASE WHEN i = 0 THEN 0 ELSE 3 END, 0, i FROM k
-            WHERE n <= 7 AND n >= 4 AND (conv_id * 31 + 5) % 2 = 0 AND (i = 0 OR i = n - 1)
-        UNION ALL SELECT conv_id, turn, role, text, i, 0, 0, i FROM k WHERE n <= 7 AND NOT (n >= 4 AND (conv_id * 31 + 5) % 2 = 0))
+            WHERE n >= 4 AND (conv_id * 31 + 5) % 2 = 0 AND (i = 0 OR i = n - 1)
+        UNION ALL SELECT conv_id, turn, role, text, i, 0, 0, i FROM k WHERE NOT (n >= 4 AND (conv_id * 31 + 5) % 2 = 0))
     SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY g, h, q, i) - 1 AS position FROM placed""")
 def shuffled_pairs(spark, folder):
-    return assembly.shuffle_pairs(table(spark, folder, "conversations"), 7)
+    return assembly.shuffle_pairs(table(spark, folder, "conversations"))

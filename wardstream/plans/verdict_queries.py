@@ -34,7 +34,7 @@ def _verdict_sql() -> str:
     limited = o.bucket_replay(
         "SELECT id AS rid, session_id AS bkey, ts FROM screened WHERE violation IS NULL AND NOT norm_blocked", 3, 600)
     found = """SELECT k.id, coalesce(max(CASE WHEN e.vec_id < k.id THEN round(list_cosine_similarity(k.e, e.embedding::DOUBLE[]), 9) END) >= 0.4, false) AS cache_hit
-        FROM known k LEFT JOIN embeddings e ON e.label = 0 GROUP BY k.id"""
+        FROM known k LEFT JOIN (SELECT * FROM embeddings WHERE label = 0 ORDER BY vec_id LIMIT 5000) e ON true GROUP BY k.id"""
     scored = o.session_scores(
         "SELECT session_id, k.id AS turn, k.e AS embedding FROM known k JOIN lookups l ON l.id = k.id WHERE NOT l.cache_hit", 1.0, 0.02)
     joined = """SELECT s.*, l.allowed, c.cache_hit, t.suspicious, t.reason AS session_reason,
@@ -103,23 +103,15 @@ def audit_rows(spark, folder):
     return views.audit_rows(requests.audit_fields(_verdicts(spark, folder)))
 
 
-_TRACE_CASES = [  # condition on (status, why), outcomes of the seven stages
-    ("status = 400", "block skip skip skip skip skip skip"),
-    ("contains(why, 'encoding') OR contains(why, 'homoglyph') OR contains(why, 'zero-width')", "pass block skip skip skip skip skip"),
-    ("contains(why, 'session') OR contains(why, 'crescendo') OR contains(why, 'drift')", "pass pass block skip skip skip skip"),
-    ("status = 403 AND NOT (contains(why, 'hallucin') OR contains(why, 'output') OR contains(why, 'refund'))", "pass pass pass block skip skip skip"),
-    ("contains(why, 'hallucin')", "pass pass pass pass pass block skip"),
-    ("status = 403", "pass pass pass pass pass pass block"),
-    ("status = 202", "pass pass pass warn skip skip skip"),
-    ("true", "pass pass pass pass pass pass pass"),
-]
-_TRACE_SQL = "CASE " + " ".join(f"WHEN {c} THEN {v.split()}" for c, v in _TRACE_CASES) + " END"
 _STAGE_LIST = ["Input Validation", *views.STAGES]
+_ENDS = {"shape": 0, "normalise": 1, "rate_limit": 2, "cache": 2, "session": 2, "input": 3, "llm": 4, "output": 6}
+_END_SQL = "CASE stage " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _ENDS.items()) + " ELSE 7 END"
 
 
 @query("stage_trace", f"""{_VERDICTS}
-    SELECT id, CAST(i AS INTEGER) AS stage_no, {_STAGE_LIST}[i + 1] AS stage, trace[i + 1] AS outcome
-    FROM (SELECT id, {_TRACE_SQL} AS trace FROM (SELECT id, status, lower(reason) AS why FROM verdicts)), generate_series(0, 6) g(i)""")
+    SELECT id, CAST(i AS INTEGER) AS stage_no, {_STAGE_LIST}[i + 1] AS stage,
+        CASE WHEN i < last THEN 'pass' WHEN i > last OR stage IN ('rate_limit', 'cache') THEN 'skip' WHEN status = 202 THEN 'warn' ELSE 'block' END AS outcome
+    FROM (SELECT id, status, stage, {_END_SQL} AS last FROM verdicts), generate_series(0, 6) g(i)""")
 def stage_trace(spark, folder):
     return views.stage_trace(_verdicts(spark, folder))
 

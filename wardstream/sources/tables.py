@@ -61,7 +61,7 @@ def read_prompts_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     require_columns(raw, ["prompt", "is_malicious"])
-    return raw.withColumn("is_malicious", F.col("is_malicious").cast("int"))
+    return raw.withColumn("is_malicious", F.col("is_malicious").try_cast("int"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
