@@ -80,9 +80,9 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int =
            slices: int = SLICES) -> DataFrame:
     """Per document: doc_id, key, size, source_size, target, copies.
 
-    ``favour`` multiplies a document's inclusion odds for the last copy; by default shorter
-    documents are favoured by the square root of their length, so the partial copy of a
-    source covers more documents.
+    ``favour`` multiplies a document's inclusion odds for the last copy; by default longer
+    documents are favoured by the square root of their length, which leaves short ones to
+    close the gap to the target.
     """
     sized = cut_lineage(docs.select(
         F.col(id_col).alias("doc_id"), _key(F.col(source_col)).alias("key"), word_count(F.col(text_col)).alias("size"),
@@ -95,7 +95,7 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int =
     # the random number is uniform on (0, 1); its odds divided by the inclusion odds are the rank
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2 ** 52)) + 0.5) / F.lit(2.0 ** 52)
     chance = F.col("missing") / F.col("source_size")
-    odds = chance / (1 - chance) * F.coalesce("favour", 1 / F.sqrt(F.greatest(F.col("size"), F.lit(1))))
+    odds = chance / (1 - chance) * F.coalesce("favour", F.sqrt(F.greatest(F.col("size"), F.lit(1))))
     met = lookup_join(sized, asked, ["key"], "inner", F.xxhash64("doc_id", "size")).withColumn(
         "odds", F.when((F.col("missing") > 0) & (F.col("size") > 0), (u / (1 - u)) / odds))
     met = cut_lineage(met)

@@ -36,6 +36,7 @@ DEPTH, SIBLINGS, RARE = 6, 16, 0.05
 #: Weight of the prior in labels; share of blocked labels from which a template is rejected; standard errors of "alike".
 PRIOR, LIMIT, ALIKE = 4.0, 0.5, 2.0
 ANY, REST = "*", "**"
+ENDING = r"(\.[A-Za-z][A-Za-z0-9]{0,4})$"
 
 
 def host_of(url: Column) -> Column:
@@ -63,13 +64,14 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
 
 def _looks_variable(segment: Column) -> Column:
     """Numbers, hexadecimal keys and segments that are mostly digits."""
-    digits = F.length(F.regexp_replace(segment, "[^0-9]", ""))
-    return (digits * 2 >= F.length(segment)) & (digits > 0) | segment.rlike("^[0-9a-f-]{16,}$")
+    stem = F.regexp_replace(segment, ENDING, "")
+    digits = F.length(F.regexp_replace(stem, "[^0-9]", ""))
+    return (digits * 2 >= F.length(stem)) & (digits > 0) | stem.rlike("^[0-9a-f-]{16,}$")
 
 
 def _suffix(segment: Column) -> Column:
     """A wildcard that keeps a short file ending."""
-    return F.concat(F.lit(ANY), F.regexp_extract(segment, r"(\.[A-Za-z][A-Za-z0-9]{0,4})$", 1))
+    return F.concat(F.lit(ANY), F.regexp_extract(segment, ENDING, 1))
 
 
 def templates(counted: DataFrame, depth: int = DEPTH, siblings: int = SIBLINGS, rare: float = RARE) -> DataFrame:
@@ -84,7 +86,7 @@ def templates(counted: DataFrame, depth: int = DEPTH, siblings: int = SIBLINGS,
         wild = below.join(node, ["host", "steps"]).filter((F.col("kinds") > siblings) & (F.col("c") < rare * F.col("all"))).select(
             "host", "steps", "seg", F.lit(True).alias("wild"))
         met = shown.join(wild, ["host", "steps", "seg"], "left")
-        step = F.when(F.col("wild"), F.lit(ANY)).otherwise(F.col("seg"))
+        step = F.when(F.col("wild"), _suffix(F.col("seg"))).otherwise(F.col("seg"))
         state = met.withColumn("steps", F.when(F.col("seg").isNull(), F.col("steps")).otherwise(F.array_append("steps", step))).drop("seg", "wild")
         state = cut_lineage(state)
     rest = F.size("segs") > depth
