@@ -5,8 +5,8 @@ the excess is shared anew by weight.  A document is expected target / size times
 part of that is certain, the rest is its chance of one more copy.  For that copy documents
 are ranked by random odds divided by inclusion odds, and the sample is the head of that
 order whose words come to what is missing; where the head ends is found by summing words
-over slices of the order, so no task ever sorts a whole source.  One more document, the one
-whose size is nearest to the words still missing, closes the gap.  Only built-in functions
+over slices of the order, so no task ever sorts a whole source.  A few more documents,
+whose sizes are nearest to the words still missing, close the gap.  Only built-in functions
 are used.
 
 Defined results: a null text has size 0; a null source is a source, last in order; a
@@ -31,7 +31,7 @@ SEED = 17
 #: Slices of the order that are summed in each of the two steps.
 SLICES = 4096
 #: Documents that may be taken in after the head, to come nearer to the target.
-CLOSINGS = 2
+CLOSINGS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -116,17 +116,19 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int =
     before = F.struct("odds", "doc_id", "size") < F.col("stop")
     head = F.col("odds").isNotNull() & F.coalesce(before, place <= F.col("high"), F.lit(False))
     chosen = cut_lineage(rest.withColumn("head", head).drop("stop", "high"))
-    for _ in range(CLOSINGS):
-        chosen = _closed(chosen)
+    for turn in range(CLOSINGS):
+        chosen = _closed(chosen, over=turn == CLOSINGS - 1)
     return chosen.select("doc_id", "key", "size", "source_size", "target", (F.col("whole") + F.col("head").cast("long")).alias("copies"))
 
 
-def _closed(chosen: DataFrame) -> DataFrame:
-    """Takes in one more document of each source, if that brings it nearer to its target."""
+def _closed(chosen: DataFrame, over: bool) -> DataFrame:
+    """Takes in one more document of each source, if that brings it nearer to its target; with
+    ``over`` it may go beyond."""
     gap = F.col("missing") - F.col("got")
     one = F.struct("odds", "doc_id", "size")
     near = F.min(F.struct(F.abs(gap - F.col("size")).alias("miss"), F.col("odds"), F.col("doc_id"), F.col("size")))
-    last = chosen.filter("odds IS NOT NULL AND NOT head").groupBy("key").agg(near.alias("c"), F.max(F.abs(gap)).alias("open")).filter(
+    fits = F.lit(True) if over else F.col("size") <= gap
+    last = chosen.filter("odds IS NOT NULL AND NOT head").filter(fits).groupBy("key").agg(near.alias("c"), F.max(F.abs(gap)).alias("open")).filter(
         "c.miss < open").select("key", F.struct("c.odds", "c.doc_id", "c.size").alias("close"), F.col("c.size").alias("more"))
     met = lookup_join(chosen, cut_lineage(last), ["key"], "left", F.xxhash64("doc_id", "size"))
     taken = F.col("head") | F.coalesce(one == F.col("close"), F.lit(False))
