@@ -9,12 +9,18 @@ more.  Candidate pairs are counted exactly: their sets are cut into fragments of
 order, overlaps are counted for each fragment on its own and summed per pair.
 
 A group of near copies is not expanded into its pairs.  In some rounds every class is paired
-only with a hub: of each bucket the class that comes first in a random order of the round, so
-that a group meets few hubs.  Verified links join classes to components, and buckets that lie
-in one component are done.  Then all pairs across components are candidates.  Links inside a
-component change no result, so none that matters is lost.  Of two prefixes the one that ends
+only with a hub: of each bucket and band of sizes the class with the largest share of frequent
+shingles (the fewest edits of its own), or the first in a random order, so that a group meets
+few hubs.  Verified links join classes to components, and buckets that lie in one component
+are done.  Then pairs across components are candidates.  Links inside a component change no
+result, so none that matters is lost.
+
+Two bounds end most candidates before they are counted.  Of two prefixes the one that ends
 first in the order holds all common shingles up to there, so the number of shared prefix
-shingles bounds the overlap, and most candidates end there.
+shingles bounds the overlap.  A prefix with a frequent shingle holds all other shingles of its
+set, so a pair that shares none of these overlaps in frequent ones only, of which each set has
+a known number: a copy with many edits of its own meets nobody in the buckets of its group.
+Pairs that do share another one come from those buckets, which are small.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer
 words than a shingle make one shingle of the whole sequence; rows that repeat an id are all
@@ -157,24 +163,27 @@ def _frequent(docs: DataFrame, text_col: str, width: int, bits: int, frequent: i
 
 
 def _shared(docs: DataFrame, text_col: str, width: int, percent: int, bits: int, tops: np.ndarray, levels: np.ndarray) -> DataFrame:
-    """token, cls, n for prefix shingles that two classes or more hold."""
+    """token, hot, cls, n, h for prefix shingles that two classes or more hold.
+
+    ``hot`` tells a frequent shingle, and h is how many of them the whole set has.
+    """
     order = docs.sparkSession.sparkContext.broadcast((tops, levels))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers, (top, level) = Powers(STEP), order.value
-        held: list[tuple[np.ndarray, int]] = []
+        held: list[tuple[np.ndarray, int, int, int]] = []
         n, seen = 0, set()
 
         def out() -> pd.DataFrame:
-            tokens = np.concatenate([p for p, _, _ in held])
-            sizes = [len(p) for p, _, _ in held]
-            cls, count = np.repeat([c for _, c, _ in held], sizes), np.repeat([m for _, _, m in held], sizes)
+            tokens = np.concatenate([p for p, *_ in held])
+            sizes = [len(p) for p, *_ in held]
             at = np.argsort(tokens)
-            tokens, cls, count = tokens[at], cls[at], count[at].astype(np.int32)
+            tokens = tokens[at]
+            cls, count, hot = (np.repeat(np.array([x[k] for x in held], kind), sizes)[at] for k, kind in ((1, np.int64), (2, np.int32), (3, np.int32)))
             borders = _by_top_bits(tokens, bits)
-            rows = [(f, tokens[a:b].tobytes(), cls[a:b].tobytes(), count[a:b].tobytes())
+            rows = [(f, tokens[a:b].tobytes(), cls[a:b].tobytes(), count[a:b].tobytes(), hot[a:b].tobytes())
                     for f, (a, b) in enumerate(zip(borders[:-1], borders[1:], strict=True)) if b > a]
-            return pd.DataFrame(rows, columns=["f", "tokens", "cls", "n"])
+            return pd.DataFrame(rows, columns=["f", "tokens", "cls", "n", "h"])
 
         for batch in batches:
             sets = shingle_sets(batch.iloc[:, 0].tolist(), powers, width)
@@ -182,13 +191,9 @@ def _shared(docs: DataFrame, text_col: str, width: int, percent: int, bits: int,
                 if len(s) and c not in seen:
                     if len(seen) < SEEN:
                         seen.add(c)
-                    keys = s
-                    if len(top):
-                        at = np.minimum(np.searchsorted(top, s >> np.uint64(32)), len(top) - 1)
-                        often = top[at] == s >> np.uint64(32)
-                        if often.any():
-                            keys = s[np.lexsort((s, np.where(often, level[at], 0)))]
-                    held.append((keys[:prefix_length(len(s), percent)], c, len(s)))
+                    often, at = _listed(top, s)
+                    keys = s[np.lexsort((s, np.where(often, level[at], 0)))] if often.any() else s
+                    held.append((keys[:prefix_length(len(s), percent)], c, len(s), int(often.sum())))
                     n += len(held[-1][0])
             if n > GATHERED:
                 yield out()
@@ -197,19 +202,28 @@ def _shared(docs: DataFrame, text_col: str, width: int, percent: int, bits: int,
             yield out()
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        tokens, cls, n = (np.concatenate([np.frombuffer(x, kind) for x in group[c]])
-                          for c, kind in (("tokens", np.uint64), ("cls", np.int64), ("n", np.int32)))
-        at = np.lexsort((cls, n, tokens))
-        tokens, cls, n = tokens[at], cls[at], n[at]
+        tokens, cls, n, h = (np.concatenate([np.frombuffer(x, kind) for x in group[c]])
+                             for c, kind in (("tokens", np.uint64), ("cls", np.int64), ("n", np.int32), ("h", np.int32)))
+        at = np.lexsort((cls, tokens))
+        tokens, cls = tokens[at], cls[at]
         fresh = np.append(True, (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1]))
-        tokens, cls, n = tokens[fresh], cls[fresh], n[fresh]
+        tokens, cls, n, h = tokens[fresh], cls[fresh], n[at][fresh], h[at][fresh]
         heads = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
         sizes = np.diff(np.append(heads, len(tokens)))
         several = np.repeat(sizes > 1, sizes)
-        return pd.DataFrame({"token": tokens[several].view(np.int64), "cls": cls[several], "n": n[several].astype(np.int64)})
+        tokens = tokens[several]
+        return pd.DataFrame({"token": tokens.view(np.int64), "hot": _listed(order.value[0], tokens)[0], "cls": cls[several], "n": n[several], "h": h[several]})
+
+    packed = docs.select(text_col).mapInPandas(send, "f int, tokens binary, cls binary, n binary, h binary")
+    return cut_lineage(packed.groupBy("f").applyInPandas(meet, "token long, hot boolean, cls long, n int, h int"))
+
 
-    packed = docs.select(text_col).mapInPandas(send, "f int, tokens binary, cls binary, n binary")
-    return cut_lineage(packed.groupBy("f").applyInPandas(meet, "token long, cls long, n long"))
+def _listed(top: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles are listed as frequent, and where in the list."""
+    if not len(top):
+        return np.zeros(len(shingles), bool), np.zeros(len(shingles), np.int64)
+    at = np.minimum(np.searchsorted(top, shingles >> np.uint64(32)), len(top) - 1)
+    return top[at] == shingles >> np.uint64(32), at
 
 
 class _Verifier:
@@ -281,14 +295,23 @@ def spark_places(values: np.ndarray, bits: int) -> np.ndarray:
     return np.mod(h.view(np.int64), bits)
 
 
+def _needed(a_n: str, b_n: str, percent: int) -> Column:
+    """The overlap from which two sets are within the threshold."""
+    return F.ceil(percent * (F.col(a_n) + F.col(b_n)) / (100 + percent))
+
+
 def _enough(shared: str, a_n: str, b_n: str, percent: int) -> Column:
     """Whether so many shared prefix shingles leave room for the threshold.
 
     Beyond the prefix that ends first at most ceil(t n) - 1 shingles of its set are left.
     """
-    needed = F.ceil(percent * (F.col(a_n) + F.col(b_n)) / (100 + percent))
     left = F.ceil(percent * F.greatest(a_n, b_n) / 100) - 1
-    return F.col(shared) >= F.greatest(F.lit(1), needed - left)
+    return F.col(shared) >= F.greatest(F.lit(1), _needed(a_n, b_n, percent) - left)
+
+
+def _hot_enough(percent: int) -> Column:
+    """Whether the frequent shingles of both sets alone can reach the threshold."""
+    return F.least("a_h", "b_h") >= _needed("a_n", "b_n", percent)
 
 
 def _open_rows(shared: DataFrame, known: DataFrame) -> DataFrame:
@@ -298,27 +321,53 @@ def _open_rows(shared: DataFrame, known: DataFrame) -> DataFrame:
     return cut_lineage(owned.join(mixed, "token"))
 
 
-def _near(a_n: str, b_n: str, percent: int) -> Column:
-    return 100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n)
+def _near(percent: int) -> Column:
+    return 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
 
 
-def _hub_pairs(rows: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Every class with the hub of another component that it shares most prefix shingles with."""
-    ranked = rows.withColumn("r", F.xxhash64("cls", F.lit(seed)))
-    least = ranked.groupBy("token").agg(F.min("r").alias("r"))
-    hubs = ranked.join(least, ["token", "r"]).select("token", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
-    met = rows.join(hubs, "token").filter((F.col("component") != F.col("a_c")) & _near("a_n", "n", percent))
-    shares = met.groupBy("a", "a_n", F.col("cls").alias("b"), F.col("n").alias("b_n")).agg(F.count("*").alias("c"))
-    best = shares.filter(_enough("c", "a_n", "b_n", percent)).groupBy("b", "b_n").agg(F.max(F.struct("c", "a", "a_n")).alias("m"))
+def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    return rows.select("token", *more, F.col("cls").alias(side), *(F.col(c).alias(f"{side}_{c[0]}") for c in ("n", "h", "component")))
+
+
+def _hub_pairs(rows: DataFrame, seed: int, percent: int, plain: bool) -> DataFrame:
+    """Every class with the hub of another component that it shares most prefix shingles with.
+
+    A bucket has one hub in each band of sizes, whose bounds differ by the threshold and lie
+    half a band higher for every other seed: the set with the largest share of frequent
+    shingles, or without ``plain`` any set; ties by a random order.
+    """
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(max(1.01, 100 / percent))) + 0.5 * (seed % 2)).cast("int")
+    edits = F.lit(1000) - F.floor(1000 * F.col("h") / F.col("n")) if plain else F.lit(0)
+    order = F.shiftleft(edits.cast("long"), 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64("cls", F.lit(seed)), 16))
+    ranked = rows.withColumn("band", band).withColumn("r", order)
+    least = ranked.groupBy("token", "band").agg(F.min("r").alias("r"))
+    hubs = _side(ranked.join(least, ["token", "band", "r"]), "a", "band")
+    met = _side(ranked, "b", "band", "hot").join(hubs, ["token", "band"]).filter(
+        (F.col("a_c") != F.col("b_c")) & _near(percent) & (~F.col("hot") | _hot_enough(percent)))
+    shares = met.groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("c"))
+    best = shares.groupBy("b", "b_n").agg(F.max(F.struct("c", "a", "a_n")).alias("m"))
     return best.select("m.a", "m.a_n", "b", "b_n")
 
 
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components that can still reach the threshold."""
-    x = rows.select("token", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
-    y = rows.select("token", F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
-    across = x.join(y, "token").filter((F.col("a_c") != F.col("b_c")) & (F.col("a") < F.col("b")) & _near("a_n", "b_n", percent))
-    return across.groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("c")).filter(_enough("c", "a_n", "b_n", percent)).drop("c")
+    """All pairs across components that can still reach the threshold.
+
+    A set with ceil(t n) frequent shingles or more has all its others in the prefix.  Pairs
+    that share one of the others are counted by these; for the rest frequent ones must do.
+    """
+    def across(hot: bool) -> DataFrame:
+        of = rows.filter(F.col("hot") == hot)
+        return _side(of, "a").join(_side(of, "b"), "token").filter((F.col("a_c") != F.col("b_c")) & (F.col("a") < F.col("b")) & _near(percent))
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("a", "a_n", "a_h", "b", "b_n", "b_h").agg(F.count("*").alias("c"))
+
+    whole = (F.col("a_h") >= F.ceil(percent * F.col("a_n") / 100)) & (F.col("b_h") >= F.ceil(percent * F.col("b_n") / 100))
+    others = counted(across(False)).filter(
+        F.when(whole, F.least("a_h", "b_h") + F.col("c") >= _needed("a_n", "b_n", percent)).otherwise(_enough("c", "a_n", "b_n", percent)))
+    frequent = counted(across(True).filter(_hot_enough(percent))).filter(_enough("c", "a_n", "b_n", percent))
+    columns = ["a", "a_n", "b", "b_n"]
+    return others.select(columns).unionByName(frequent.select(columns)).distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
@@ -333,7 +382,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     rows = _open_rows(shared, components(links))
     for turn in range(ROUNDS):
-        pairs = [_hub_pairs(rows, turn * ORDERS + i, percent) for i in range(ORDERS)]
+        pairs = [_hub_pairs(rows, turn * ORDERS + i, percent, turn < ROUNDS - 1) for i in range(ORDERS)]
         found = verifier.links(reduce(DataFrame.unionByName, pairs).distinct())
         if found.isEmpty():
             break
