@@ -30,7 +30,6 @@ listed; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -51,8 +50,10 @@ GATHERED, DOCS_A_FRAGMENT = 2_000_000, 4000
 #: Fragments that a set is cut into when overlaps are counted: one for so many shingles.
 COUNT_FRAGMENTS = 16
 SEEN = 1_000_000
-#: Rounds with hubs, and random orders in each.
-ROUNDS, ORDERS = 3, 2
+#: Rounds with hubs.
+ROUNDS = 3
+#: Pairs of one class that meet in one place when overlaps are counted.
+PAIRS_A_PLACE = 500
 
 
 def shingle_sets(texts: list[str], powers: Powers, width: int = WIDTH) -> list[np.ndarray]:
@@ -240,17 +241,24 @@ class _Verifier:
         needed = cut_lineage(needed)
         if self._made is None or not needed.isEmpty():
             wanted = self._docs.sparkSession.sparkContext.broadcast(key_filter(needed, F.col("cls")))
-            fresh = _sets(self._docs, self._text, self._width, wanted).join(needed, "cls", "left_semi")
+            fresh = _sets(self._docs, self._text, self._width, wanted).join(needed, "cls").dropDuplicates(["cls", "f"])
             fresh = cut_lineage(fresh)
             self._made = fresh if self._made is None else self._made.unionByName(fresh)
         return self._made
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """a, b of the pairs (a, a_n, b, b_n) within the threshold: overlaps of each fragment, summed."""
+        """a, b of the pairs (a, a_n, b, b_n) within the threshold: overlaps of each fragment, summed.
+
+        The set of each b goes to its a's fragments; an a with many pairs is dealt to several places.
+        """
         pairs = cut_lineage(pairs)
         tokens = self._tokens(pairs)
-        left = pairs.join(tokens.select(F.col("cls").alias("a"), "f", F.col("tokens").alias("x")), "a")
-        met = left.join(tokens.select(F.col("cls").alias("b"), "f", F.col("tokens").alias("y")), ["b", "f"])
+        places = cut_lineage(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_PLACE).cast("int").alias("places")))
+        dealt = pairs.join(places, "a").withColumn("place", F.pmod(F.xxhash64("b"), "places").cast("int")).drop("places")
+        right = dealt.join(tokens.select(F.col("cls").alias("b"), "f", F.col("tokens").alias("y")), "b")
+        left = tokens.withColumnRenamed("cls", "a").join(places, "a").select(
+            "a", "f", F.col("tokens").alias("x"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+        met = right.join(left, ["a", "f", "place"])
         counted = met.select("a", "a_n", "b", "b_n", F.size(F.array_intersect("x", "y")).alias("part"))
         whole = counted.groupBy("a", "a_n", "b", "b_n").agg(F.sum("part").alias("both"))
         near = 100 * F.col("both") >= self._percent * (F.col("a_n") + F.col("b_n") - F.col("both"))
@@ -258,7 +266,7 @@ class _Verifier:
 
 
 def _sets(docs: DataFrame, text_col: str, width: int, wanted) -> DataFrame:
-    """cls, f, tokens: the sets of the wanted classes cut into fragments of the order of hashes."""
+    """cls, f, tokens: the sets of the wanted classes cut into fragments of the order of hashes; some repeat."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers, table, seen = Powers(STEP), wanted.value, set()
         for batch in batches:
@@ -273,8 +281,7 @@ def _sets(docs: DataFrame, text_col: str, width: int, wanted) -> DataFrame:
                     rows += [(c, f, s[a:b].view(np.int64)) for f, (a, b) in enumerate(zip(borders[:-1], borders[1:], strict=True)) if b > a]
             yield pd.DataFrame(rows, columns=["cls", "f", "tokens"])
 
-    found = docs.select(text_col).mapInPandas(run, "cls long, f int, tokens array<long>")
-    return found.dropDuplicates(["cls", "f"])
+    return docs.select(text_col).mapInPandas(run, "cls long, f int, tokens array<long>")
 
 
 def spark_places(values: np.ndarray, bits: int) -> np.ndarray:
@@ -342,30 +349,37 @@ def _hub_pairs(rows: DataFrame, seed: int, percent: int, plain: bool) -> DataFra
     ranked = rows.withColumn("band", band).withColumn("r", order)
     least = ranked.groupBy("token", "band").agg(F.min("r").alias("r"))
     hubs = _side(ranked.join(least, ["token", "band", "r"]), "a", "band")
-    met = _side(ranked, "b", "band", "hot").join(hubs, ["token", "band"]).filter(
-        (F.col("a_c") != F.col("b_c")) & _near(percent) & (~F.col("hot") | _hot_enough(percent)))
-    shares = met.groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("c"))
+    met = _side(ranked, "b", "band", "hot").join(hubs, ["token", "band"]).filter((F.col("a_c") != F.col("b_c")) & _near(percent))
+    shares = _counted(met, percent, others=F.count_if(~F.col("hot"))).filter(_enough("c", "a_n", "b_n", percent))
     best = shares.groupBy("b", "b_n").agg(F.max(F.struct("c", "a", "a_n")).alias("m"))
     return best.select("m.a", "m.a_n", "b", "b_n")
 
 
+def _counted(met: DataFrame, percent: int, others: Column) -> DataFrame:
+    """Pairs with their shared prefix shingles, c, without those that cannot reach the threshold.
+
+    A set with ceil(t n) frequent shingles or more has all its others in the prefix.  Of two
+    such sets (``whole``) the shared others and the frequent ones bound the overlap.
+    """
+    pairs = met.groupBy("a", "a_n", "a_h", "b", "b_n", "b_h").agg(F.count("*").alias("c"), others.alias("others"))
+    whole = (F.col("a_h") >= F.ceil(percent * F.col("a_n") / 100)) & (F.col("b_h") >= F.ceil(percent * F.col("b_n") / 100))
+    room = F.least("a_h", "b_h") + F.col("others") >= _needed("a_n", "b_n", percent)
+    return pairs.withColumn("whole", whole).filter(~F.col("whole") | room)
+
+
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs across components that can still reach the threshold.
 
-    A set with ceil(t n) frequent shingles or more has all its others in the prefix.  Pairs
-    that share one of the others are counted by these; for the rest frequent ones must do.
+    Pairs that share a shingle that is not frequent are counted by these; for the rest
+    frequent ones must do.
     """
     def across(hot: bool) -> DataFrame:
         of = rows.filter(F.col("hot") == hot)
         return _side(of, "a").join(_side(of, "b"), "token").filter((F.col("a_c") != F.col("b_c")) & (F.col("a") < F.col("b")) & _near(percent))
 
-    def counted(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a", "a_n", "a_h", "b", "b_n", "b_h").agg(F.count("*").alias("c"))
-
-    whole = (F.col("a_h") >= F.ceil(percent * F.col("a_n") / 100)) & (F.col("b_h") >= F.ceil(percent * F.col("b_n") / 100))
-    others = counted(across(False)).filter(
-        F.when(whole, F.least("a_h", "b_h") + F.col("c") >= _needed("a_n", "b_n", percent)).otherwise(_enough("c", "a_n", "b_n", percent)))
-    frequent = counted(across(True).filter(_hot_enough(percent))).filter(_enough("c", "a_n", "b_n", percent))
+    others = _counted(across(False), percent, others=F.count("*"))
+    others = others.filter(F.col("whole") | _enough("c", "a_n", "b_n", percent))
+    frequent = _counted(across(True).filter(_hot_enough(percent)), percent, others=F.lit(0)).filter(_enough("c", "a_n", "b_n", percent))
     columns = ["a", "a_n", "b", "b_n"]
     return others.select(columns).unionByName(frequent.select(columns)).distinct()
 
@@ -382,8 +396,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     rows = _open_rows(shared, components(links))
     for turn in range(ROUNDS):
-        pairs = [_hub_pairs(rows, turn * ORDERS + i, percent, turn < ROUNDS - 1) for i in range(ORDERS)]
-        found = verifier.links(reduce(DataFrame.unionByName, pairs).distinct())
+        found = verifier.links(_hub_pairs(rows, turn, percent, turn < ROUNDS - 1))
         if found.isEmpty():
             break
         links = links.unionByName(found)
