@@ -118,3 +118,6 @@ CONTRADICTION_THRESHOLD = 0.40
 REVIEW_LOW = 0.45
 REVIEW_HIGH = 0.75
 CANDIDATE_CONFIDENCE = 0.6
+
+# --- assembled prompts: text between a prompt and the message ----------------
+SEPARATORS = ["\n\n---\n\n", "\n\n===\n\n", "\n\n", " "]

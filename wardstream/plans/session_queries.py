@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import assembly, canary, ratelimit, sessions, similarity
 from ..sources.tables import table
 from . import derived as d, oracle_parts as o
@@ -297,7 +298,7 @@ def prompt_variant(spark, folder):
             count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
     t AS (SELECT * FROM k)
     SELECT conv_id, turn, role, CASE WHEN turn = st THEN {_VARIANT_TEXT} ||
-        {_case('(conv_id * 104729 + 7) % 4', assembly.SEPARATORS)} || coalesce(text, '') ELSE text END AS text FROM t
+        {_case('(conv_id * 104729 + 7) % 4', fixed.SEPARATORS)} || coalesce(text, '') ELSE text END AS text FROM t
     UNION ALL SELECT DISTINCT conv_id, -1, 'system', {_VARIANT_TEXT} FROM t WHERE st IS NULL""")
 def assembled_prompts(spark, folder):
     return assembly.assemble(table(spark, folder, "conversations"))
