@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from wardstream.llm import jaccard_join, mixing, packing, risk_rules, suffix_dedup
 from wardstream.llm.common import bound_batches, table
 from wardstream.llm.queries import tokenizer_path
-from wardstream.session import ensure_checkpoint_dir
+from wardstream.session import cut_lineage, ensure_checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Features are counted once more for the verdict, which is cheaper than to store texts with them."""
-    featured = risk_rules.features(docs)
-    cutoffs = risk_rules.fit(featured, table(spark, sf_dir, "labels"))
+    """Rows are stored with their features, which cutoffs and verdict read; to count them is the costly part."""
+    featured = cut_lineage(risk_rules.features(docs))
+    cutoffs = cut_lineage(risk_rules.fit(featured, table(spark, sf_dir, "labels")))
     return risk_rules.judge(featured, cutoffs).filter("_q.kept").select(*docs.columns)
 
 
