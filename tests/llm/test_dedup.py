@@ -62,6 +62,16 @@ def test_removals_against_brute_force(spark, places):
     assert [tuple(r)[1:] for r in sorted(got)] == want
 
 
+@pytest.mark.parametrize("places", [4096, 2])
+def test_a_place_that_two_shards_send_is_one(spark, places):
+    """Runs of one character in unique contexts: neighbouring minimizers of a text are dealt over salts."""
+    rng = random.Random(11)
+    texts = ["".join(chr(rng.randrange(0x21, 0x7F)) for _ in range(50)) + "-" * 60 + "".join(chr(rng.randrange(0x21, 0x7F)) for _ in range(50))
+             for _ in range(14)]
+    got = suffix_dedup.dedup(frame(spark, texts), length=24, gram=8, shard_places=places).collect()
+    assert [tuple(r)[1:] for r in sorted(got)] == removed(texts, 24)
+
+
 def test_empty_table_and_nulls(spark):
     assert suffix_dedup.dedup(frame(spark, [])).count() == 0
     row = suffix_dedup.dedup(frame(spark, [None])).first()
@@ -109,6 +119,13 @@ def test_merge_runs_marks_strings_of_two_runs():
     assert [r.tolist() for r in suffix_dedup.merge_runs(runs)] == [[False, False, True], [False, True], [False]]
 
 
+def test_merge_runs_tells_one_place_from_two():
+    u = np.uint64
+    runs = [(np.array([1, 5], u), np.array([1, 1], u)), (np.array([1, 5], u), np.array([1, 1], u))]
+    places = [(np.array([7, 7]), np.array([3, 4])), (np.array([7, 7]), np.array([3, 5]))]
+    assert [r.tolist() for r in suffix_dedup.merge_runs(runs, places)] == [[False, True], [False, True]]
+
+
 def test_minimizers_of_equal_strings_are_equal():
     rng = random.Random(5)
     shared = bytes(rng.randrange(256) for _ in range(60))

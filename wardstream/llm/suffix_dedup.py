@@ -16,7 +16,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
     only the heads of such chains are compared byte by byte.
 4.  A minimizer with very many different surroundings is dealt over several shards.  Each
     sends the hashes of its distinct strings as a sorted run, and runs are merged by
-    binary search.
+    binary search.  A string is repeated if its places in the text differ, as surroundings
+    in one text overlap over shards.
 5.  Covered stretches are united per text and cut out.
 
 Fingerprints have 64 bits (128 in step 4).  Defined results: null and empty texts have no
@@ -306,18 +307,25 @@ def _in_shards(segments: DataFrame, length: int) -> DataFrame:
         run, "kind int, k long, n long, start long, end long, shard long, part int, one binary, two binary, ks binary, ns binary, at binary")
 
 
-def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]], places: list[tuple[np.ndarray, ...]] | None = None) -> list[np.ndarray]:
     """For every run of distinct strings, given by two hashes and sorted by the first: which
     of them stand in another run too.
 
     The runs are united in one order; each run then looks up by binary search how many rows
-    of the union its strings have.
+    of the union its strings have.  With ``places``, the columns of each run's places, rows
+    of one place are one: segments of a text that overlap send it in several runs.
     """
     one, two = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
     order = np.lexsort((two, one))
     one, two = one[order], two[order]
-    heads = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-    twice = np.diff(np.append(heads, len(one))) > 1
+    fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+    heads = np.flatnonzero(fresh)
+    if places is None:
+        twice = np.diff(np.append(heads, len(one))) > 1
+    else:
+        columns = [np.concatenate(c)[order] for c in zip(*places, strict=True)]
+        head = heads[np.cumsum(fresh) - 1]
+        twice = np.logical_or.reduceat(np.any([c != c[head] for c in columns], axis=0), heads)
     one, two = one[heads], two[heads]
     found = []
     for first, second in runs:
@@ -330,11 +338,11 @@ def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
 
 
 def _across_shards(runs: DataFrame, length: int) -> DataFrame:
-    """k, n, start, end of strings that stand in two shards of one minimizer."""
+    """k, n, start, end of strings that stand at two places, in two shards of one minimizer."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         one, two, ks, ns, at = ([np.frombuffer(x, kind) for x in group[c]] for c, kind in (
             ("one", np.uint64), ("two", np.uint64), ("ks", np.int64), ("ns", np.int64), ("at", np.int64)))
-        many = np.concatenate(merge_runs(list(zip(one, two, strict=True))))
+        many = np.concatenate(merge_runs(list(zip(one, two, strict=True)), list(zip(ks, ns, at, strict=True))))
         ks, ns, at = np.concatenate(ks)[many], np.concatenate(ns)[many], np.concatenate(at)[many]
         order = np.lexsort((at, ns, ks))
         ks, ns, at = ks[order], ns[order], at[order]
