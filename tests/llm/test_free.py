@@ -6,6 +6,7 @@ import hashlib
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -86,6 +87,41 @@ def test_spaced_letters_are_one_word():
     assert deobfuscate.restored_text("an I.D.I.O.T here", model) == "an idiot here"
 
 
+@pytest.mark.parametrize(("written", "meant"), [
+    ("stu" + "u" * 60 + "pid", "stupid"), ("!diot", "idiot"), ("<lown", "clown"), ("|d|o+", "idiot"), ("@$$", "ass"), ("455", "ass"), ("(garden)", "garden"),
+    ("garden!", "garden"), ("1d1o7!", "idiot")])
+def test_the_whole_channel_reaches_the_lattice(written, meant):
+    words = {"stupid": 30, "idiot": 30, "clown": 100, "ass": 200, "garden": 30, "loser": 30, "ordinary": 30}
+    marked = [(f"^^{w}$", n) for w, n in words.items()]
+    grams = Counter()
+    for w, n in marked:
+        for i in range(len(w) - 2):
+            grams[w[i:i + 3]] += n
+    assert deobfuscate.restore_word(written, deobfuscate.CharacterModel(grams)) == meant
+
+
+def test_spaced_runs_are_parted_into_words():
+    model = english_model()
+    words = deobfuscate.Restorer(model).words("you s t u p i d i d i o t and a $ t u p 1 d")
+    assert {"stupid", "idiot"} <= words
+    assert deobfuscate.restored_text("a s t u p i d", model) == "a stupid"
+    assert deobfuscate.restored_text("such s t u p i d i d i o t here", model) == "such stupid idiot here"
+
+
+def test_no_state_is_dropped_and_long_tokens_are_read():
+    """The best path against a table of all states, where more than 24 are alive."""
+    model, token = english_model(), "6!1|8+9(0$@3" * 4
+    best = {"^^": (0.0, "")}
+    for ways in deobfuscate.readings(token):
+        paths = [(cost + own + (model.cost(s, c) if c else 0.0), t + c, s[1] + c if c else s) for s, (cost, t) in best.items() for c, own in ways]
+        best = {s: min((n, t) for n, t, to in paths if to == s) for s in {p[2] for p in paths}}
+    assert len(best) > 24
+    want = min(cost + model.cost(s, "$") for s, (cost, _) in best.items())
+    got = deobfuscate.decode(token, model)
+    assert min(cost + model.cost(s, "$") for s, (cost, t) in best.items() if t == got) == pytest.approx(want)
+    assert deobfuscate.restore_word("i" + "d10t" * 20_000, model)
+
+
 def test_decode_is_the_best_path():
     """Viterbi against all readings of short tokens."""
     model = english_model()

@@ -2,8 +2,10 @@
 
 The channel writes a word's letters as look-alike signs, repeats them, or puts marks or
 spaces between them.  A word that only has letters without a run of three stands for itself.
-Any other is a lattice of readings, and Viterbi finds the likeliest under a character trigram
-model of all documents.  Runs of single letters are read as one word.
+Any other, of any length, with or without letters, is a lattice of readings, and Viterbi finds
+the likeliest under a character trigram model of all documents; no state is dropped.  Marks at
+the edges that can be letters stay in the lattice.  In runs of four or more single letters each
+gap is nothing or the end of a word.
 
 Restored words and their beginnings are evidence.  How much each one tells is a shrunk
 log-odds from labelled training documents; a document's evidence is the sum of its strongest
@@ -42,12 +44,14 @@ TRAINED_ON = 50_000
 #: Documents that must hold a piece of evidence; strongest pieces that are summed; beginnings of words.
 SUPPORT, STRONGEST, BEGINNINGS = 5, 3, (4, 5, 6)
 REMEMBERED, GATHERED = 200_000, 300_000
-BEAM = 24
 
-_EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$|(?<=\w)[$@]{3,}$|^[$@]{2,}(?=\w)")
+_SIGNS = re.escape("".join(c for c in LOOKALIKES if not c.isalnum()))
+#: Marks whose only reading is nothing.
+_EDGE = re.compile(rf"^[^\w{_SIGNS}]+|[^\w{_SIGNS}]+$")
 _PLAIN = re.compile(r"^[^\W\d_]+$")
 _THRICE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){3,}[^\W_](?!\S)")
+_GAP = re.compile(r"[ .\-_*]")
+_SPACED = re.compile(rf"(?<!\S)(?:(?:[^\W_]|[{_SIGNS}])[ .\-_*]){{3,}}(?:[^\W_]|[{_SIGNS}])(?!\S)")
 
 
 class CharacterModel:
@@ -88,31 +92,68 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
     return lattice
 
 
-def decode(token: str, model: CharacterModel) -> str:
-    """The likeliest word behind a token: Viterbi over the lattice, a state is the last two letters."""
-    states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    for ways in readings(token):
-        after: dict[str, tuple[float, str]] = {}
+def spaced_readings(run: str) -> list[list[tuple[str, float]]]:
+    """Readings of a run of single letters; between two of them stands nothing or a space."""
+    letters = _GAP.sub("", run)
+    plain = _PLAIN.match(letters) and not _THRICE.search(letters)
+    lattice = []
+    for ways in [[(c, 0.0)] for c in letters] if plain else readings(letters):
+        lattice += [ways, [("", 0.0), (" ", 0.0)]]
+    return lattice[:-1]
+
+
+def likeliest(lattice: list[list[tuple[str, float]]], model: CharacterModel) -> str:
+    """The best path: Viterbi, a state is the last two letters of a word, and a space ends one.
+
+    Texts are chains of (before, letter), so time and memory grow with the length only.
+    """
+    states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+    for ways in lattice:
+        after: dict[str, tuple[float, tuple | None]] = {}
         for last, (cost, text) in states.items():
             for c, own in ways:
-                total = cost + own + (model.cost(last, c) if c else 0.0)
-                to = last[1] + c if c else last
+                if not c:
+                    total, to = cost + own, last
+                elif c == " ":
+                    if last == "^^":
+                        continue
+                    total, to = cost + own + model.cost(last, "$"), "^^"
+                else:
+                    total, to = cost + own + model.cost(last, c), last[1] + c
                 if to not in after or total < after[to][0]:
-                    after[to] = (total, text + c)
-        states = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda s: s[1])[:BEAM])
-    return min((cost + model.cost(last, "$"), text) for last, (cost, text) in states.items())[1]
+                    after[to] = (total, (text, c) if c else text)
+        states = after
+    ends = [(cost + model.cost(last, "$"), text) for last, (cost, text) in states.items()]
+    least = min(cost for cost, _ in ends)
+    return min(_unchained(text) for cost, text in ends if cost == least)
+
+
+def _unchained(text: tuple | None) -> str:
+    out = []
+    while text:
+        text, c = text
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def decode(token: str, model: CharacterModel) -> str:
+    """The likeliest word behind a token."""
+    return likeliest(readings(token), model)
 
 
 def restore_word(token: str, model: CharacterModel) -> str:
-    """A lower-case token without marks at its edges, decoded unless it stands for itself."""
+    """A lower-case token, decoded unless it stands for itself without marks at its edges."""
     core = _EDGE.sub("", token)
     if not core or (_PLAIN.match(core) and not _THRICE.search(core)):
         return core
-    if len(core) > 40 or not any(c.isalpha() for c in core):
-        return core
     return decode(core, model)
 
 
+def restore_run(run: str, model: CharacterModel) -> str:
+    """The likeliest words, parted by spaces, behind a run of single letters."""
+    return likeliest(spaced_readings(run), model)
+
+
 class Restorer:
     """The distinct restored words of a text; tokens are decoded once per task."""
 
@@ -122,19 +163,22 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         text = text.lower()
         tokens, known = set(text.split()), self._known
-        for run in _SPACED.findall(text):
-            tokens.add(re.sub(r"[ .\-_*]", "", run))
+        # no token has a space, so a run never has the key of one
+        runs = {f" {run}" for run in _SPACED.findall(text)}
         if len(known) > REMEMBERED:
             known.clear()
         for t in tokens:
             if t not in known:
                 known[t] = restore_word(t, self._model)
-        return {known[t] for t in tokens}
+        for run in runs:
+            if run not in known:
+                known[run] = restore_run(run[1:], self._model)
+        return {known[t] for t in tokens}.union(*(known[run].split() for run in runs))
 
 
 def restored_text(text: str, model: CharacterModel) -> str:
     """The whole text with decoded words."""
-    joined = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), (text or "").lower())
+    joined = _SPACED.sub(lambda m: restore_run(m[0], model), (text or "").lower())
     return " ".join(restore_word(t, model) for t in joined.split())
 
 
