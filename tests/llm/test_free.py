@@ -61,6 +61,24 @@ def test_bad_branch_is_rejected_and_good_one_kept(spark):
     assert {r.template for r in got} == {"/spam/*.html", "/news/*.html", "/wiki/*.html"}
 
 
+def test_tree_smooths_merges_and_goes_to_the_end(spark):
+    """(url, label or None): an unlabelled branch follows its host, inner branches merge, deep paths are told apart."""
+    rows = [(f"http://bad.net/{b}/page", 1) for b in ("a", "b", "c") for _ in range(10)] + [("http://bad.net/d/page", None)]
+    rows += [(f"http://good.net/{b}/page", 0) for b in ("a", "b", "c") for _ in range(40)]
+    deep = "http://deep.net/a/b/c/d/e/f/"
+    rows += [(f"{deep}{b}", int(b == "bad")) for b in ("bad", "good") for _ in range(20)]
+    # /news and /wiki are one branch, so /wiki/x is judged with the labels of /news/x; /shop is another branch
+    rows += [("http://two.net/news/x", 1)] * 30 + [("http://two.net/news/y", 0)] * 30 + [("http://two.net/wiki/x", 1), ("http://two.net/wiki/y", 0)]
+    rows += [("http://two.net/shop/x", 0)] * 60
+    docs = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows) if b is not None], "page_id long, bad int")
+    got = {(r.host, r.path): r for r in url_templates.judge(docs, rules=[], labels=labels).collect()}
+    assert got["bad.net", "/d/page"].verdict == "block" and got["good.net", "/a/page"].verdict == "allow"
+    assert got["deep.net", "/a/b/c/d/e/f/bad"].verdict == "block" and got["deep.net", "/a/b/c/d/e/f/good"].verdict == "allow"
+    assert got["two.net", "/news/x"].rate == pytest.approx(got["two.net", "/wiki/x"].rate, abs=0.01) and got["two.net", "/wiki/x"].verdict == "block"
+    assert got["two.net", "/wiki/y"].verdict == got["two.net", "/shop/x"].verdict == "allow"
+
+
 # -- toxicity ---------------------------------------------------------------------------------
 
 
