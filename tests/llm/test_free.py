@@ -238,6 +238,18 @@ def test_archive_round_trip(spark, tmp_path):
         assert bytes(r.payload) == (html or "").encode() and (length == 0 or body[:-4] == bytes(r.payload))
 
 
+def test_a_record_of_another_length_fails(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", "short"), (2, "http://b/", "longer")], "page_id long, url string, html string")
+    path, bent = str(tmp_path / "a"), str(tmp_path / "bent")
+    warc_archive.write_archive(pages, path)
+    headers, stored = warc_archive.read_archive(spark, path)
+    stored.write.parquet(f"{bent}/payloads")
+    text = F.regexp_replace(F.decode("header", "UTF-8"), "Content-Length: 5", "Content-Length: 4")
+    headers.withColumn("header", F.encode(text, "UTF-8")).write.parquet(f"{bent}/headers")
+    with pytest.raises(Exception, match="does not match"):
+        warc_archive.verify(spark, bent).collect()
+
+
 def test_archive_of_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc_archive.write_archive(pages, str(tmp_path / "a"))

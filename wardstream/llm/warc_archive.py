@@ -83,30 +83,36 @@ def field(header: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(text, rf"(?m)^{name}: ([^\r\n]*)$", 1), F.lit(""))
 
 
-def verify(spark: SparkSession, path: str) -> DataFrame:
-    """What each record says and what its payload in the store is.
-
-    Digest and length are taken anew from the stored bytes, once for each distinct
-    payload, and meet the headers over the key; a header that tells another digest fails
-    the job.
-    """
+def _rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, key, header, type, record and payload of every record."""
     headers, stored = read_archive(spark, path)
-    measured = stored.select(
-        "key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
-        (F.sha2("payload", 256) == F.col("key")).alias("intact"))
-    said = headers.select(
-        "page_id", "key", field(F.col("header"), "WARC-Type").alias("record_type"),
-        field(F.col("header"), "WARC-Payload-Digest").alias("said"),
-        F.regexp_extract(field(F.col("header"), "WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1).cast("long").alias("refers_to"))
-    intact = F.coalesce(F.col("intact") & (F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest"))), F.lit(False))
-    digest = F.when(intact, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record does not match its payload")))
-    return said.join(measured, "key", "left").select(
-        "page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    typed = headers.withColumn("type", field(F.col("header"), "WARC-Type"))
+    body = F.when(F.col("type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    return typed.join(stored, "key", "left").select(
+        "page_id", "key", "header", "type", F.concat("header", body, F.lit(END * 2).cast("binary")).alias("record"), "payload")
 
 
 def rebuild(spark: SparkSession, path: str) -> DataFrame:
     """page_id, the bytes of the original WARC record, and the full payload also for revisits."""
-    headers, stored = read_archive(spark, path)
-    body = F.when(field(F.col("header"), "WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return headers.join(stored, "key", "left").select(
-        "page_id", F.concat("header", body, F.lit(END * 2).cast("binary")).alias("record"), "payload")
+    return _rebuilt(spark, path).select("page_id", "record", "payload")
+
+
+def verify(spark: SparkSession, path: str) -> DataFrame:
+    """What each rebuilt record says and what its payload is.
+
+    Every record is rebuilt.  Digest and length are taken from the bytes after its header,
+    for a revisit from the payload it refers to; a record whose header tells another digest
+    or another Content-Length than its bytes have fails the job.
+    """
+    head = F.octet_length("header")
+    rebuilt = _rebuilt(spark, path).withColumn("body", F.substring(F.col("record"), head + 1, F.octet_length("record") - head - 2 * len(END)))
+    data = F.when(F.col("type") == "response", F.col("body")).otherwise(F.col("payload"))
+    said = rebuilt.select(
+        "page_id", F.col("type").alias("record_type"), F.octet_length(data).cast("long").alias("payload_bytes"), F.sha1(data).alias("measured"),
+        (F.sha2(data, 256) == F.col("key")).alias("filed"),
+        (field(F.col("header"), "Content-Length").try_cast("long") == F.octet_length("body")).alias("sized"),
+        field(F.col("header"), "WARC-Payload-Digest").alias("said"),
+        F.regexp_extract(field(F.col("header"), "WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1).cast("long").alias("refers_to"))
+    intact = F.coalesce(F.col("filed") & F.col("sized") & (F.col("said") == F.concat(F.lit("sha1:"), F.col("measured"))), F.lit(False))
+    digest = F.when(intact, F.col("measured")).otherwise(F.raise_error(F.lit("a record does not match its payload")))
+    return said.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
