@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and reads all that its predecessor kept;
 last return the columns of ``documents``.  Stages hand over tables, written as Parquet.
 
 1. quality: documents that the base rule or a certified cutoff rejects go.
-2. near_copies: of every component of near-copies the document with the smallest id stays.
+2. near_copies: of every component of near-copies the row with the smallest id stays.
 3. passages: bytes in strings of 400 bytes that stand twice go; a character that such a
    string only touches stays, and n_chars follows the text.
 4. mix: documents stand as often as the mix takes them.
@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from wardstream.llm import jaccard_join, mixing, packing, risk_rules, suffix_dedup
 from wardstream.llm.common import bound_batches, table
@@ -31,14 +32,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return risk_rules.judge(featured, cutoffs).filter("_q.kept").select(*docs.columns)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Id and text of a row as one string that sorts by id, null ids last."""
+    own = F.col("doc_id")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        # hexadecimal digits without the sign sort as the numbers do
+        own = F.lpad(F.hex(own.cast("long").bitwiseXOR(F.lit(-2 ** 63))), 16, "0")
+    name = F.coalesce(F.concat(F.lit("0"), own.cast("string")), F.lit("1"))
+    return F.concat(name, F.lit("\0"), F.coalesce(F.sha2(F.encode("text", "UTF-8"), 256), F.lit("")))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id are kept; rows that repeat an id are one document."""
+    """Rows are told apart by id and text, so rows that repeat an id with another text are
+    documents of their own; rows that repeat both are one.  Rows without an id come last in a
+    component; without words, too, they are no copies of each other and all stay."""
     bound_batches(spark)
-    joined = jaccard_join.join(docs)
-    gone = joined.filter("component_id <> doc_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    first = named.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_nth = 1")
-    return first.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    keyed = docs.withColumn("_key", _row_key(docs))
+    joined = cut_lineage(jaccard_join.join(keyed, "_key"))
+    gone = joined.filter("component_id <> _key").select("_key").distinct()
+    bare = joined.filter("n_shingles = 0").select("_key").distinct().filter(F.col("_key").startswith("1"))
+    left = keyed.join(gone, "_key", "left_anti")
+    nameless = left.filter("doc_id IS NULL")
+    named = left.filter("doc_id IS NOT NULL").unionByName(nameless.join(bare, "_key", "left_anti")).dropDuplicates(["_key"])
+    return named.unionByName(nameless.join(bare, "_key", "left_semi")).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

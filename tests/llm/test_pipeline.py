@@ -102,3 +102,18 @@ def test_stages_against_brute_force(spark, tmp_path):
         pieces.sort()
         assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))]
         assert sum(n for _, n in pieces) <= 2048
+
+
+def test_near_copies_go_by_row_not_by_id(spark):
+    def prose(seed):
+        return " ".join(random.Random(seed).choices(["alpha", "beta", "gamma", "delta", "kappa", "sigma", "omega", "theta"], k=60))
+
+    one, two, three, four = (prose(k) for k in range(4))
+    rows = [(1, one), (1, two), (1, two), (2, two + " end"), (-5, three), (3, three + " end"), (3, four), (None, four + " end"),
+            (None, prose(9)), (None, prose(9) + " end"), (None, prose(9)), (None, None), (None, None), (7, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, corpus_pipeline.near_copies(spark, docs, "").collect()))
+    nameless = [t for i, t in got if i is None and t is not None]
+    assert len(nameless) == 1 and nameless[0] in (prose(9), prose(9) + " end")
+    del got[None, nameless[0]]
+    assert got == Counter([(1, one), (1, two), (-5, three), (3, four), (None, None), (None, None), (7, None)])
