@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from wardstream.session import ensure_checkpoint_dir
 
-from . import deobfuscate, jaccard_join, license_scan, maxscore, mixing, packing, risk_rules, suffix_dedup, url_templates, warc_archive
+from . import (
+    bpe, deobfuscate, filter_audit, jaccard_join, license_scan, maxscore, mixing, packing, periodic_runs, risk_rules, suffix_dedup, url_templates,
+    warc_archive,
+)
 from .common import bound_batches, table
 
 
@@ -75,6 +78,26 @@ def op10_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    ids = filter_audit.failing_ids(filter_audit.judged(docs), labels)
+    return filter_audit.audit(*ids)
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    return periodic_runs.summary(periodic_runs.runs(periodic_runs.planted(table(spark, folder, "documents"))))
+
+
+def op13_bpe_backtracking(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    encoded = bpe.encode(table(spark, folder, "documents"), tokenizer_path())
+    done = bpe.decode(encoded, tokenizer_path())
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_url_templates, op3_noisy_channel, op4_suffix_dedup, op5_risk_rules, op6_maxscore_topk, op7_jaccard_join,
-                                   op8_license_diagonals, op9_warc_archive, op10_best_fit)}
-ORACLES: dict[str, str] = {}
+                                   op8_license_diagonals, op9_warc_archive, op10_best_fit, op11_filter_audit, op12_periodic_runs, op13_bpe_backtracking)}
+ORACLES: dict[str, str] = {"op11_filter_audit": filter_audit.SQL}
