@@ -34,7 +34,9 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words and pieces of words remembered in each generation.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
+#: Pairs of tokens in the table before it starts anew.
+PAIRS = 1_000_000
 #: Tokens that are put together at a time.
 AT_ONCE = 500_000
 #: Symbols: a byte's value, and a byte's value plus this at the end of a word.
@@ -56,6 +58,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def _file(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 class Memory:
     """A bounded dictionary of two generations."""
 
@@ -87,8 +94,7 @@ class Bpe:
         import ahocorasick
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
+        file = _file(path)
         model, end = file["model"], file["model"]["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         value = {c: b for b, c in enumerate(byte_letters())}
@@ -121,20 +127,15 @@ class Bpe:
         for k, t in enumerate(self._text):
             self._automaton.add_word(t, k)
         self._automaton.make_automaton()
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._pieces, self._words = Memory(), Memory()
         # letters, white space and normal forms are those of the library, so that its Unicode tables hold
-        self._normalizer = Tokenizer.from_file(path).normalizer
+        bare = file | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}
+        self._normalizer = Tokenizer.from_str(json.dumps(bare)).normalizer
         self._split = pre_tokenizers.Split(Regex(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
         special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self._special = {t: np.array([k], np.int32).tobytes() for t, k in special.items()}
         self._at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        names = [""] * (1 + max([*vocab.values(), *special.values()]))
-        for t, k in chain(vocab.items(), special.items()):
-            names[k] = t
-        data = [f"{t} ".encode() for t in names]
-        self._offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
-        self._buffer = np.frombuffer(b"".join(data), np.uint8)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the text of two tokens merges into just these two.
@@ -158,8 +159,8 @@ class Bpe:
                 limit, second = second + 1, self._left[second]
 
     def _walk(self, start: int, stop: int, longest: list[int]) -> list[int]:
-        """Numbers of the tokens from start to stop."""
-        length, shorter, pairs = self._length, self._shorter, self._pairs
+        """The tokens' numbers of the stretch from start to stop."""
+        length, shorter, pairs, n = self._length, self._shorter, self._pairs, len(self._left)
         token = longest[start]
         if start + length[token] == stop:
             return [token]
@@ -170,9 +171,9 @@ class Bpe:
             end = at + length[token]
             good = end not in closed
             if good and last >= 0:
-                good = pairs.get((last, token))
+                good = pairs.get(last * n + token)
                 if good is None:
-                    good = pairs[last, token] = self.fits(last, token)
+                    good = pairs[last * n + token] = self.fits(last, token)
             if good:
                 done.append(token)
                 if end == stop:
@@ -195,6 +196,8 @@ class Bpe:
             longest, length = [-1] * len(joined), self._length
             for end, token in self._automaton.iter(joined):
                 longest[end - length[token] + 1] = token
+            if len(self._pairs) > PAIRS:
+                self._pairs.clear()
             at, ids, learned = 0, self._ids.__getitem__, {}
             for piece, s in zip(new, spelled, strict=True):
                 stop = at + len(s)
@@ -237,6 +240,17 @@ class Bpe:
         known = self._learn({w for words in cut for w in words})
         return [b"".join([known[w] for w in words]) for words in cut]
 
+
+class TokenTexts:
+    """The texts of all tokens in one buffer, with the offset of each."""
+
+    def __init__(self, path: str):
+        file = _file(path)
+        names = {k: t for t, k in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+        data = [f"{names.get(k, '')} ".encode() for k in range(1 + max(names))]
+        self._offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+        self._buffer = np.frombuffer(b"".join(data), np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' texts with a space between them."""
         out = []
@@ -248,14 +262,14 @@ class Bpe:
         return b"".join(out)[:-1]
 
 
-_LOADED: dict[str, Bpe] = {}
+_LOADED: dict[tuple[type, str], object] = {}
 
 
-def loaded(path: str) -> Bpe:
+def loaded(path: str, kind: type = Bpe):
     """The tables of a file, made once for each worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    if (kind, path) not in _LOADED:
+        _LOADED[kind, path] = kind(path)
+    return _LOADED[kind, path]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,13 +293,13 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(tokenizer_path)
+        table = loaded(tokenizer_path, TokenTexts)
         for batch in batches:
             lists = batch.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
-            texts = [bpe.decode(flat[a:b]).decode() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            texts = [table.decode(flat[a:b]).decode() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=[id_col, ids_col, "decoded"])
 
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded string")
