@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 
 from wardstream.session import cut_lineage
 
+from .bpe import Memory, loaded
 from .common import rank_in_groups
 
 LIMIT = 2048
 END = 0
-#: Distinct words whose tokens a task remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Distinct words whose tokens a worker process remembers in each of two generations.
+REMEMBERED = 300_000
 #: Marks that may end a word; characters that Python splits on though the tokenizer's white space lacks them.
 MARKS = ".,;:!?&*#$%|"
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -38,7 +39,7 @@ class WordEncoder:
     """Token ids of a text as little-endian 32-bit words.
 
     The tokenizer never joins characters over white space, so the tokens of a text are
-    those of its words, and a word is encoded once per task.  It also cuts between letters
+    those of its words, and a word is encoded once per worker process while it is remembered.  It also cuts between letters
     and marks, and lower-cases one character at a time; so a word of letters before one mark
     is put together from the lower-case word and the mark.
     """
@@ -48,6 +49,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._memory = Memory(REMEMBERED)
         self._known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -62,16 +64,15 @@ class WordEncoder:
         return (low, word[len(core):]) if core.isalpha() and low.isalpha() and "\u03a3" not in core else (word, "")
 
     def learn(self, texts: list[str]) -> None:
-        """Encodes the new words of a batch of texts in one call."""
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = {w for t in texts for w in t.split() if w not in known}
+        """Encodes the new words of a batch of texts in one call; only the batch's words are at hand afterwards."""
+        known, new = self._memory.known({w for t in texts for w in t.split()})
         parts = {w: self._parts(w) for w in new}
-        missing = [w for w in {p for pair in parts.values() for p in pair if p} if w not in known]
-        known.update(zip(missing, self._encode(missing), strict=True))
-        known[""] = b""
-        known.update((w, known[core] + known[mark]) for w, (core, mark) in parts.items())
+        found, missing = self._memory.known({p for pair in parts.values() for p in pair if p})
+        found |= zip(missing, self._encode(missing), strict=True)
+        found[""] = b""
+        learned = {w: found[core] + found[mark] for w, (core, mark) in parts.items()}
+        self._memory.learn(learned | {m: found[m] for m in missing})
+        self._known = known | learned
 
     def __call__(self, text: str) -> bytes:
         if any(c in text for c in ODD_SPACES):
@@ -91,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = WordEncoder(tokenizer_path), struct.pack("<I", END)
+        encode, end = loaded(tokenizer_path, WordEncoder), struct.pack("<I", END)
         for batch in batches:
             rows = []
             encode.learn([t for t in batch.iloc[:, 1] if t])
