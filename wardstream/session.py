@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,12 +54,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_FOLDERS: list[str] = []
+
+
+@contextmanager
+def tables_together(spark: SparkSession) -> Iterator[str]:
+    """What ``cut_lineage`` writes inside the block lies in one folder, for ``drop_tables``."""
+    _FOLDERS.append(f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4()}")
+    try:
+        yield _FOLDERS[-1]
+    finally:
+        _FOLDERS.pop()
+
+
+def drop_tables(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that this library has written in the checkpoint folder, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes ``df`` to a new folder under the checkpoint folder and reads it back.
 
     Later readers take only the columns they need, and a lost executor costs no
     recomputation of what went before.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    folder = _FOLDERS[-1] if _FOLDERS else ensure_checkpoint_dir(df.sparkSession)
+    path = f"{folder}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
