@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -130,11 +131,38 @@ def test_minimizers_of_equal_strings_are_equal():
     rng = random.Random(5)
     shared = bytes(rng.randrange(256) for _ in range(60))
     texts = [bytes(rng.randrange(256) for _ in range(40)) + shared, shared + bytes(rng.randrange(256) for _ in range(50))]
-    no, pos, h, _ = suffix_dedup.minimizers(texts, hashing.RollingHash(), 60, 20)
+    (lot,) = suffix_dedup.pieces(texts, 60)
+    no, pos, h, _ = suffix_dedup.minimizers(lot, hashing.RollingHash(), 60, 20)
     inside = [{int(x) for x, p in zip(h[no == i], pos[no == i], strict=True) if low <= p <= low + 40} for i, low in ((0, 40), (1, 0))]
     assert inside[0] & inside[1]
 
 
+@pytest.mark.parametrize("lot", [1, 61, 100, 333])
+def test_long_texts_are_hashed_in_pieces(lot):
+    """Pieces give the minimizers of the whole text, with the same surroundings."""
+    rng = random.Random(lot)
+    texts = [bytes(rng.choices(b"ab", k=n)) for n in (60, 61, 500, 1200, 75)]
+
+    def found(lots):
+        out = set()
+        for one in lots:
+            no, pos, h, around = suffix_dedup.minimizers(one, hashing.RollingHash(), 60, 20)
+            out |= set(zip(no.tolist(), pos.tolist(), h.tolist(), around.tolist(), strict=True))
+        return out
+
+    lots = list(suffix_dedup.pieces(texts, 60, lot))
+    assert found(lots) == found(suffix_dedup.pieces(texts, 60)) and len(lots) > 2
+    assert all(len(p) <= lot + 180 for one in lots for _, _, p, _, _ in one)
+
+
+def test_whole_words_of_a_stretch():
+    for text in (b"one two  three", b" one\ntwo ", b"word", b"", b"  "):
+        spans = [(m.start(), m.end()) for m in re.finditer(rb"\S+", text)]
+        for a in range(len(text) + 1):
+            for b in range(a, len(text) + 1):
+                assert suffix_dedup.whole_words(text, a, b) == sum(a <= s and e <= b for s, e in spans), (text, a, b)
+
+
 # -- Jaccard join -----------------------------------------------------------------------------
 
 

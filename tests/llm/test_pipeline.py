@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 from wardstream.llm.queries import tokenizer_path
 
-SPAN = 400
+SPAN, WORDS = 200, 51
 
 
 def corpus():
@@ -22,6 +23,9 @@ def corpus():
     shared = prose(90)
     texts = [prose(rng.randint(30, 120)) for _ in range(36)]
     texts += [f"{prose(40)}\n{shared}\n{prose(40)}" for _ in range(3)]
+    # passages of just enough words and of too few, with more bytes than a string of either
+    longer, shorter = prose(51), prose(49)
+    texts += [f"{prose(60)} {p} {prose(60)}" for p in (longer, longer, shorter, shorter)]
     copy = texts[0].split()
     texts += [texts[1], " ".join([*copy[:-2], "other", "ending"])]
     texts += [None, "", "too short", "again and again and so on we go " * 12]
@@ -53,7 +57,16 @@ def without_repeats(texts):
     out = {}
     for i, t in texts.items():
         gone = {q for p in range(len(t) - SPAN + 1) if count[t[p:p + SPAN]] > 1 for q in range(p, p + SPAN)}
-        out[i] = "".join(c for k, c in enumerate(t) if k not in gone)
+        kept, at = [], 0
+        while at < len(t):
+            end = at
+            while end < len(t) and (end in gone) == (at in gone):
+                end += 1
+            # words that lie in the stretch with both ends
+            inside = [m for m in re.finditer(r"\S+", t) if at <= m.start() and m.end() <= end]
+            kept.append("" if at in gone and len(inside) >= WORDS else t[at:end])
+            at = end
+        out[i] = "".join(kept)
     return out
 
 
@@ -73,12 +86,12 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert name == "pack" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
     want = {r[0]: r[1] for r in rows if fit(r[1])}
-    assert {r.doc_id: r.text for r in got["quality"]} == want and len(want) == 41
+    assert {r.doc_id: r.text for r in got["quality"]} == want and len(want) == 45
     kept = firsts(want)
     want = {i: t for i, t in want.items() if i in kept}
-    assert {r.doc_id: r.text for r in got["near_copies"]} == want and len(want) == 39
+    assert {r.doc_id: r.text for r in got["near_copies"]} == want and len(want) == 43
     shortened = without_repeats(want)
-    assert {r.doc_id: r.text for r in got["passages"]} == shortened and sum(shortened[i] != want[i] for i in want) == 3
+    assert {r.doc_id: r.text for r in got["passages"]} == shortened and sum(shortened[i] != want[i] for i in want) == 5
     assert all(r.n_chars == len(r.text) for r in got["passages"])
 
     copies = Counter(r.doc_id for r in got["mix"])
@@ -117,3 +130,19 @@ def test_near_copies_go_by_row_not_by_id(spark):
     assert len(nameless) == 1 and nameless[0] in (prose(9), prose(9) + " end")
     del got[None, nameless[0]]
     assert got == Counter([(1, one), (1, two), (-5, three), (3, four), (None, None), (None, None), (7, None)])
+
+
+def test_stages_on_clashing_columns_and_empty_tables(spark, tmp_path):
+    """Columns named like the stages' own ones pass through; empty tables stay empty."""
+    folder = str(tmp_path)
+    rows = [(*r, 1, 2, 3, 4) for r in corpus()[:8]] + [(900, "word " * 30_000, "en", None, None, 1, 2, 3, 4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies int, component int, k int, rank int"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        some = not docs.isEmpty()
+        for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, folder).write.parquet(f"{folder}/{name}-{some}")
+            docs = spark.read.parquet(f"{folder}/{name}-{some}")
+            assert docs.isEmpty() != some
+            assert number == 4 or docs.columns == [c.split()[0] for c in schema.split(", ")]
+            assert number == 4 or all((r.copies, r.component, r.k, r.rank) == (1, 2, 3, 4) for r in docs.collect())

@@ -37,12 +37,15 @@ from pyspark.sql import functions as F
 
 from wardstream.session import cut_lineage
 
+from .common import words
 from .hashing import RollingHash, in_filter, key_filter, mix
 
 LENGTH, GRAM = 400, 100
 #: Bytes of a shard, and surroundings of one minimizer in a shard.
-SHARD_BYTES, SHARD_PLACES = 4_000_000, 4096
-SEEN = 1_000_000
+SHARD_BYTES, SHARD_PLACES = 1_500_000, 2048
+SEEN = 200_000
+#: Bytes that are hashed together; hashing takes about a hundred times as much memory.
+LOT_BYTES = 1_000_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -62,13 +65,36 @@ def _key(data: bytes) -> int:
 # -- minimizers -------------------------------------------------------------------------------
 
 
-def minimizers(texts: list[bytes], rolling: RollingHash, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text number, place, k-gram hash, hash of the surroundings) of the minimizers of all texts.
+def pieces(texts: list[bytes], length: int, lot: int = LOT_BYTES) -> Iterator[list[tuple[int, int, bytes, int, int]]]:
+    """Texts of ``length`` bytes or more in lots of about ``lot`` bytes: (text number, place of the
+    piece, piece, first and last start of a string in it).
 
-    The texts, each of ``length`` bytes or more, are hashed in one buffer; strings that
-    would cross from one text into the next are left out.
+    A longer text is cut into pieces that share ``2 * length`` bytes with each neighbour, so that
+    every string is in one piece together with all of its minimizer's surroundings.
+    """
+    now: list[tuple[int, int, bytes, int, int]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        starts = len(text) - length + 1
+        for first in range(0, starts, lot):
+            last = min(first + lot, starts)
+            low, high = max(0, first - length), min(len(text), last + 2 * length)
+            if now and size + high - low > lot:
+                yield now
+                now, size = [], 0
+            now.append((k, low, text[low:high], first - low, last - low))
+            size += high - low
+    if now:
+        yield now
+
+
+def minimizers(lot: list[tuple[int, int, bytes, int, int]], rolling: RollingHash, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text number, place, k-gram hash, hash of the surroundings) of the minimizers of a lot of pieces.
+
+    The pieces are hashed in one buffer; strings that would cross from one into the next are left out.
     """
     window = length - gram + 1
+    number, offset, texts, first, last = zip(*lot, strict=True)
     buffer = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
@@ -85,18 +111,19 @@ def minimizers(texts: list[bytes], rolling: RollingHash, length: int = LENGTH, g
     least = np.minimum(behind[:n], ahead[window - 1:window - 1 + n])
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)[:n]
-    inside = np.arange(n) + length <= ends[owner]
+    place = np.arange(n) - starts[owner]
+    inside = (place >= np.array(first)[owner]) & (place < np.array(last)[owner])
     at = at[inside]
     at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
-    text = np.searchsorted(ends, at, side="right")
-    low = np.maximum(starts[text], at - (length - gram))
-    high = np.minimum(ends[text], at + length)
+    piece = np.searchsorted(ends, at, side="right")
+    low = np.maximum(starts[piece], at - (length - gram))
+    high = np.minimum(ends[piece], at + length)
     around = mix(rolling.spans(low, high) + (at - low).astype(np.uint64))
-    return text, at - starts[text], grams[at], around
+    return np.array(number)[piece], at - starts[piece] + np.array(offset)[piece], grams[at], around
 
 
 def _places(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
-    """h, around, k, n, pos of every minimizer of the distinct texts; copies in other tasks repeat rows."""
+    """h, around, k, n, pos of every minimizer of the distinct texts; copies in other tasks and pieces repeat rows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rolling, seen = RollingHash(), set()
         for batch in batches:
@@ -108,8 +135,8 @@ def _places(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame
                         seen.add(k)
                     texts.append(data)
                     keys.append(k)
-            if texts:
-                no, pos, h, around = minimizers(texts, rolling, length, gram)
+            for lot in pieces(texts, length):
+                no, pos, h, around = minimizers(lot, rolling, length, gram)
                 ks = np.array(keys, np.int64)[no]
                 yield pd.DataFrame({"h": h.view(np.int64), "around": around.view(np.int64), "k": ks[:, 0], "n": ks[:, 1], "pos": pos})
 
@@ -393,10 +420,21 @@ def unite(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[cut].tolist(), far[np.append(cut[1:], len(starts)) - 1].tolist(), strict=True))
 
 
-def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, keep_data: bool = False, **how) -> DataFrame:
-    """k, n, n_removed, n_spans, kept_sha256 (and the kept bytes) of every distinct text that loses bytes."""
-    keyed = docs.select(text_key(_bytes(F.col(text_col))).alias("k"), F.octet_length(_bytes(F.col(text_col))).cast("long").alias("n"))
-    copied = keyed.filter(F.col("n") >= length).groupBy("k", "n").agg(F.count("*").alias("c")).filter("c > 1")
+def whole_words(data: bytes, start: int, end: int) -> int:
+    """How many words lie inside a stretch with both ends."""
+    n = len(data[start:end].split())
+    n -= start > 0 and start < end and not data[start - 1:start].isspace() and not data[start:start + 1].isspace()
+    return n - (n > 0 and end < len(data) and not data[end - 1:end].isspace() and not data[end:end + 1].isspace())
+
+
+def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, keep_data: bool = False, least_words: int = 0, **how) -> DataFrame:
+    """k, n, n_removed, n_spans, kept_sha256 (and the kept bytes) of every distinct text that loses bytes.
+
+    With ``least_words`` only stretches that hold so many whole words go.
+    """
+    size = F.size(words(F.col(text_col))) if least_words else F.lit(0)
+    keyed = docs.select(text_key(_bytes(F.col(text_col))).alias("k"), F.octet_length(_bytes(F.col(text_col))).cast("long").alias("n"), size.alias("w"))
+    copied = keyed.filter((F.col("n") >= length) & (F.col("w") >= least_words)).groupBy("k", "n").agg(F.count("*").alias("c")).filter("c > 1")
     gone = copied.select("k", "n", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"),
                          F.lit(b"").alias("kept"))
     parts = covered(docs, text_col, length, **how).join(copied.select("k", "n"), ["k", "n"], "left_anti")
@@ -408,6 +446,8 @@ def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, keep
             rows = []
             for k, n, starts, ends, data in batch[["k", "n", "starts", "ends", "data"]].itertuples(index=False):
                 runs = unite(np.asarray(starts), np.asarray(ends))
+                if least_words:
+                    runs = [r for r in runs if whole_words(data, *r) >= least_words]
                 edges = [0, *(x for r in runs for x in r), n]
                 kept = b"".join(data[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
                 rows.append((k, n, n - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), _whole_characters(data, runs) if keep_data else b""))
