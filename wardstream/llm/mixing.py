@@ -162,11 +162,16 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """
     dealt = shares(docs, **how)
     id_col, text_col, source_col = how.get("id_col", "doc_id"), how.get("text_col", "text"), how.get("source_col", "source")
-    own = docs.select("*", F.struct(F.col(id_col).alias("doc_id"), _key(F.col(source_col)).alias("key"), word_count(F.col(text_col)).alias("size")).alias("_own"))
-    counted = dealt.groupBy(F.struct("doc_id", "key", "size").alias("_own"), "copies").agg(F.count("*").alias("rows"))
-    plans = counted.groupBy("_own").agg(F.sum(F.col("copies") * F.col("rows")).alias("_all"), F.sum("rows").alias("_rows"))
-    met = own.join(plans, own["_own"].eqNullSafe(plans["_own"])).drop(plans["_own"])
-    nth = F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))
+    def keyed(df: DataFrame, key: Column, own: Column) -> DataFrame:
+        return df.withColumns({"_own": F.struct(own.alias("doc_id"), key.alias("key"), F.col("_size").alias("size"))}).withColumn("_h", F.xxhash64("_own"))
+
+    # one exchange of the texts: the window has the partitions of the join by the key's hash
+    own = keyed(docs.withColumn("_size", word_count(F.col(text_col))), _key(F.col(source_col)), F.col(id_col))
+    counted = keyed(dealt.withColumnRenamed("size", "_size"), F.col("key"), F.col("doc_id")).groupBy("_h", "_own", "copies").agg(F.count("*").alias("rows"))
+    plans = counted.groupBy("_h", "_own").agg(F.sum(F.col("copies") * F.col("rows")).alias("_all"), F.sum("rows").alias("_rows")).select(
+        F.col("_h").alias("_hash"), F.col("_own").alias("_theirs"), "_all", "_rows")
+    met = own.join(plans, (F.col("_h") == F.col("_hash")) & F.col("_own").eqNullSafe(F.col("_theirs")))
+    nth = F.row_number().over(Window.partitionBy("_h", "_own").orderBy(F.lit(0)))
     copies = F.floor(F.col("_all") / F.col("_rows")) + (nth <= F.col("_all") % F.col("_rows")).cast("long")
     return met.withColumn("_copies", copies.cast("int")).select(
         *docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).drop("_copy")
