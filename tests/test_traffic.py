@@ -232,8 +232,8 @@ def test_stages_feed_each_other(spark):
         "contra_score": "double", "out_judge_reason": "string", "out_judge_confidence": "double"}.items()}
     history = spark.createDataFrame(rows, "id long, session_id string, ts timestamp_ntz, prompt string").withColumns({
         **none, "llm_available": F.lit(True), "canary_leak": F.lit(False), "text": F.lit("ok"), "out_judge_action": F.lit("PASS")})
-    empty = spark.createDataFrame([], "id long, embedding array<float>")
+    stored = spark.createDataFrame([], "entry_id long, prompt string")
     limits = spark.createDataFrame([(1, "f", "<=", 50.0, "Max")], tables.SCHEMAS["business_rules"])
-    got = requests.verdicts(history, empty, empty.withColumnRenamed("id", "entry_id"), limits).orderBy("id").collect()
+    got = requests.verdicts(history, stored, limits).orderBy("id").collect()
     assert [r["stage"] for r in got] == ["normalise"] * 5 + ["done"] * 5 + ["rate_limit", "shape"]
     assert [r["status"] for r in got] == [403] * 5 + [200] * 5 + [429, 400]

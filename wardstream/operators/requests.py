@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..session import cut_lineage
-from . import guards, ratelimit, rules as rule_ops, screening, sessions, similarity
+from . import guards, ratelimit, rules as rule_ops, scoring, screening, sessions, similarity
 
 
 @dataclass(frozen=True)
@@ -26,14 +26,14 @@ class Settings:
     bucket: dict = field(default_factory=dict)
 
 
-def verdicts(requests: DataFrame, vectors: DataFrame, cached: DataFrame, rules: DataFrame,
-             settings: Settings | None = None) -> DataFrame:
+def verdicts(requests: DataFrame, cached: DataFrame, rules: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Every request with its deciding ``stage``, ``status``, ``action_taken`` and ``reason``.
 
     ``requests`` has one user message each: id, session_id, ts, prompt, the model columns
-    of the guards, and the answer in ``text``; ids increase with time.  ``vectors`` is
-    (id, embedding); ``cached`` the stored entries (entry_id, embedding), of which those
-    older than a request can answer it.
+    of the guards, and the answer in ``text``; ids increase with time.  ``cached`` are the
+    stored entries (entry_id, prompt), of which those older than a request can answer it.
+    Every request that reaches the cache and session stages is embedded there; entries are
+    embedded in the same way.
     """
     s = settings or Settings()
     long_prompt = F.when(F.length("prompt") > s.max_message, F.lit("message_too_long"))
@@ -45,8 +45,12 @@ def verdicts(requests: DataFrame, vectors: DataFrame, cached: DataFrame, rules:
     open_rows = screened.filter(F.col("violation").isNull() & ~F.col("norm_blocked")).select("id", "session_id", "ts")
     limited = cut_lineage(
         ratelimit.replay(open_rows, "session_id", "ts", "id", **s.bucket).select("id", "session_id", "allowed"))
+    # vectors are a narrow table of their own, so that no later join carries texts
+    vectors = cut_lineage(scoring.embed(
+        screened.filter(F.col("violation").isNull() & ~F.col("norm_blocked")).select("id", "norm_text"), "norm_text").drop("norm_text"))
     known = limited.filter("allowed").join(vectors, "id")
-    found = similarity.nearest(known, cached, "id", "entry_id", "entry_id", query_order="id")
+    entries = scoring.embed(cached, "prompt").drop("prompt")
+    found = similarity.nearest(known, entries, "id", "entry_id", "entry_id", query_order="id")
     hit = F.coalesce(F.col("similarity") >= s.cache_threshold, F.lit(False))
     lookups = cut_lineage(found.select(F.col("query_id").alias("id"), hit.alias("cache_hit")))
     turns = known.join(lookups.filter(~F.col("cache_hit")), "id", "left_semi").select("session_id", "id", "embedding")

@@ -6,8 +6,10 @@ worker process.  The trained default needs no download.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -44,11 +46,42 @@ def _features(text: str, dimensions: int) -> list:
     ]
 
 
-def embed(df: DataFrame, text: str, dimensions: int = 256) -> DataFrame:
-    """Adds ``embedding``: a unit-length hashed word vector."""
-    model = Pipeline(stages=_features(text, dimensions)).fit(df)
-    out = model.transform(df).withColumn("embedding", vector_to_array("_features", "float32"))
-    return out.drop("_words", "_tf", "_features")
+#: Length of a text vector; vectors of different versions are not comparable.
+DIMENSIONS = 256
+_WORDS_KNOWN = 500_000
+
+
+def _signed_slot(word: bytes, dimensions: int) -> int:
+    """Place of a word in the vector, from 1 on, below zero for a word that counts negative."""
+    digest = hashlib.md5(word, usedforsecurity=False).hexdigest()
+    place = int(digest[:4], 16) % dimensions + 1
+    return place if digest[4] < "8" else -place
+
+
+def embed(df: DataFrame, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """Adds ``embedding`` and ``embedding_version``: every distinct word of a text adds 1 or -1 at one place.
+
+    Signed feature hashing needs no model and no pass over the corpus, so a text has the same
+    vector wherever it is stored.  A null text has no vector, a text without words the zero vector.
+    """
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        slots: dict[bytes, int] = {}
+        for texts in batches:
+            out: list[np.ndarray | None] = []
+            for t in texts:
+                if t is None:
+                    out.append(None)
+                    continue
+                words = set(t.encode("utf-8", "surrogatepass").split())
+                slots |= {w: _signed_slot(w, dimensions) for w in words if w not in slots}
+                found = np.array([slots[w] for w in words], np.int64)
+                out.append(np.bincount(np.abs(found), np.sign(found), dimensions + 1)[1:].astype(np.float32))
+            if len(slots) > _WORDS_KNOWN:
+                slots.clear()
+            yield pd.Series(out, dtype=object)
+
+    return df.withColumns({"embedding": run(F.col(text)), "embedding_version": F.lit(f"signed-md5-{dimensions}")})
 
 
 def train(labelled: DataFrame, text: str = "prompt", label: str = "is_malicious",

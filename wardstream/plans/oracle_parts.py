@@ -156,6 +156,16 @@ def output_guard(source: str, violations: str, row_id: str) -> str:
         FROM ({source}) s LEFT JOIN ({violations}) v ON s.{row_id} = v.{row_id}"""
 
 
+def text_vectors(source: str, row_id: str, text: str, dimensions: int = 256) -> str:
+    """Signed counts of the hashed distinct words of each text, as list ``e``."""
+    words = f"list_distinct(regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+'))"
+    slots = f"""SELECT {row_id}, ('0x' || substring(h, 1, 4))::BIGINT % {dimensions} AS b, CASE WHEN substring(h, 5, 1) < '8' THEN 1 ELSE -1 END AS s
+        FROM (SELECT {row_id}, md5(unnest({words})) AS h FROM ({source}))"""
+    return f"""SELECT {row_id}, list(coalesce(v, 0)::DOUBLE ORDER BY b) AS e
+        FROM (SELECT {row_id}, unnest(range({dimensions})) AS b FROM ({source}))
+        LEFT JOIN (SELECT {row_id}, b, sum(s) AS v FROM ({slots}) GROUP BY ALL) USING ({row_id}, b) GROUP BY {row_id}"""
+
+
 def session_scores(source: str, drift: float, escalation: float) -> str:
     """``source`` has session_id, turn, embedding."""
     return f"""SELECT *, drift > {drift} OR escalation > {escalation} AS suspicious,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import assembly, canary, ratelimit, sessions, similarity
+from ..operators import assembly, canary, neighbours, ratelimit, sessions, similarity
 from ..sources.tables import table
 from . import derived as d, oracle_parts as o
 from .registry import query
@@ -117,19 +117,17 @@ def embedding_normalise(spark, folder):
         "value", F.round("value", 6))
 
 
-_ENTRIES_SQL = "SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings ORDER BY vec_id LIMIT 5000"
-_NEAREST_SQL = f"""
+_NEAREST_SQL = """
     SELECT query_id, entry_id, similarity FROM (
-        SELECT q.vec_id AS query_id, e.vec_id AS entry_id, e.label AS label,
+        SELECT q.vec_id AS query_id, e.vec_id AS entry_id,
             round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity,
             row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rn
-        FROM embeddings q JOIN ({_ENTRIES_SQL}) e ON q.vec_id <> e.vec_id) WHERE rn = 1"""
+        FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id) WHERE rn = 1"""
 
 
 def _nearest(spark, folder):
     vectors = _vectors(spark, folder)
-    entries = similarity.cache_entries(vectors, "vec_id", "vec_id")
-    return similarity.nearest(vectors, entries, "vec_id", "vec_id", "vec_id", exclude_self=True)
+    return neighbours.nearest_exact(vectors, vectors, "vec_id", "vec_id", exclude_self=True)
 
 
 @query("nearest_neighbour", f"SELECT query_id, entry_id, round(similarity, 6) AS similarity FROM ({_NEAREST_SQL})")

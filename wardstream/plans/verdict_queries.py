@@ -11,20 +11,17 @@ from . import derived as d, oracle_parts as o
 from .registry import query
 from .rule_queries import _LIMITS_SQL, _limits
 
-# The driver's vectors are far apart and its sessions short, so the limits are set to
-# values that some requests reach.
+# The driver's texts share few words, so the limits of a session are set to values that some
+# requests reach and others do not.
 _SETTINGS = requests.Settings(
-    cache_threshold=0.40, drift_limit=1.0, escalation_limit=0.02,
+    cache_threshold=0.90, drift_limit=1.0, escalation_limit=0.02,
     bucket={"capacity": 3, "refill_tokens": 1, "refill_seconds": 600})
 
 
 def _verdicts(spark, folder):
-    vectors = table(spark, folder, "embeddings")
     history = d.load(spark, folder, d.requests).withColumn("canary_id", F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 8))
-    return requests.verdicts(
-        history, vectors.select(F.col("vec_id").alias("id"), "embedding"),
-        vectors.filter("label = 0").select(F.col("vec_id").alias("entry_id"), "embedding"),
-        _limits(spark, folder), _SETTINGS)
+    stored = d.load(spark, folder, d.requests).filter("id % 3 = 0").select(F.col("id").alias("entry_id"), "prompt")
+    return requests.verdicts(history, stored, _limits(spark, folder), _SETTINGS)
 
 
 def _verdict_sql() -> str:
@@ -33,8 +30,10 @@ def _verdict_sql() -> str:
         CASE WHEN length(prompt) <= 4000 THEN prompt END AS raw_prompt FROM ({d.sql(d.requests)})"""
     limited = o.bucket_replay(
         "SELECT id AS rid, session_id AS bkey, ts FROM screened WHERE violation IS NULL AND NOT norm_blocked", 3, 600)
-    found = """SELECT k.id, coalesce(max(CASE WHEN e.vec_id < k.id THEN round(list_cosine_similarity(k.e, e.embedding::DOUBLE[]), 9) END) >= 0.4, false) AS cache_hit
-        FROM known k LEFT JOIN (SELECT * FROM embeddings WHERE label = 0 ORDER BY vec_id LIMIT 5000) e ON true GROUP BY k.id"""
+    vecs = o.text_vectors("SELECT id, norm_text FROM screened WHERE violation IS NULL AND NOT norm_blocked", "id", "norm_text")
+    entries = o.text_vectors(f"SELECT id AS entry_id, prompt FROM ({d.sql(d.requests)}) WHERE id % 3 = 0 ORDER BY id LIMIT 5000", "entry_id", "prompt")
+    found = """SELECT k.id, coalesce(max(CASE WHEN e.entry_id < k.id THEN round(list_cosine_similarity(k.e, e.e), 9) END) >= 0.9, false) AS cache_hit
+        FROM known k LEFT JOIN entries e ON true GROUP BY k.id"""
     scored = o.session_scores(
         "SELECT session_id, k.id AS turn, k.e AS embedding FROM known k JOIN lookups l ON l.id = k.id WHERE NOT l.cache_hit", 1.0, 0.02)
     joined = """SELECT s.*, l.allowed, c.cache_hit, t.suspicious, t.reason AS session_reason,
@@ -64,7 +63,8 @@ def _verdict_sql() -> str:
         return "CASE " + " ".join(f"WHEN {s[0]} THEN {s[i]}" for s in stages) + " END"
 
     return f"""WITH screened AS ({o.normalised(base, 'raw_prompt')}), limited AS ({limited}),
-        known AS (SELECT l.rid AS id, l.bkey AS session_id, e.embedding::DOUBLE[] AS e FROM limited l JOIN embeddings e ON e.vec_id = l.rid WHERE l.allowed),
+        vecs AS ({vecs}), entries AS ({entries}),
+        known AS (SELECT l.rid AS id, l.bkey AS session_id, v.e FROM limited l JOIN vecs v ON v.id = l.rid WHERE l.allowed),
         lookups AS ({found}), scored AS ({scored}), joined AS ({joined}), guarded AS ({guarded}), answers AS ({answers}),
         final AS ({final}),
         staged AS (SELECT *, {case(1)} AS stage, {case(2)} AS action_taken, {case(3)} AS reason FROM final),
