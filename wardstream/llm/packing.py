@@ -29,7 +29,7 @@ from .common import rank_in_groups
 LIMIT = 2048
 END = 0
 #: Distinct words whose tokens a worker process remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Marks that may end a word; characters that Python splits on though the tokenizer's white space lacks them.
 MARKS = ".,;:!?&*#$%|"
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
