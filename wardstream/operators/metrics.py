@@ -95,15 +95,19 @@ def traffic_rates(audit: DataFrame, ts: str = "ts", latency: str = "latency_ms")
 
 
 def spike_hours(audit: DataFrame, kind: str, ts: str = "ts", trailing: int = 24, sigmas: float = 2.0) -> DataFrame:
-    """Hours of a kind whose count exceeds the trailing mean by ``sigmas`` deviations.
+    """Hours of a kind whose count exceeds the mean of the ``trailing`` hours before by ``sigmas`` deviations.
 
-    Rows are counted per hour first; the window only sees hours.
+    Hours without a row count as 0, from the kind's first hour on; hours with fewer than
+    ``trailing`` hours behind them are not judged.  Rows are counted per hour first, so the window
+    only sees hours; sums over a range of time need no rows for quiet hours.
     """
     hours = audit.groupBy(kind, F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz").alias("hour")).agg(
-        F.count("*").alias("n_events"))
-    w = W.partitionBy(kind).orderBy("hour").rowsBetween(-trailing, -1)
+        F.count("*").alias("n_events")).withColumn("_nth", F.floor(F.unix_seconds(F.col("hour").cast("timestamp")) / 3600))
+    before = W.partitionBy(kind).orderBy("_nth").rangeBetween(-trailing, -1)
+    n = F.col("n_events")
     scored = hours.withColumns({
-        "_n": F.count("*").over(w), "_mean": F.avg("n_events").over(w), "_sd": F.stddev_pop("n_events").over(w)})
-    limit = F.col("_mean") + sigmas * F.col("_sd")
-    return scored.filter((F.col("_n") == trailing) & (F.col("n_events") > limit)).select(
+        "_sum": F.coalesce(F.sum(n).over(before), F.lit(0)), "_squares": F.coalesce(F.sum(n * n).over(before), F.lit(0)),
+        "_age": F.col("_nth") - F.min("_nth").over(W.partitionBy(kind))})
+    limit = (F.col("_sum") + sigmas * F.sqrt((trailing * F.col("_squares") - F.col("_sum") * F.col("_sum")).cast("double"))) / trailing
+    return scored.filter((F.col("_age") >= trailing) & (n > limit)).select(
         kind, "hour", "n_events", F.round(limit, 4).alias("threshold"))

@@ -63,13 +63,6 @@ def _against_rules(rows: DataFrame, rules: DataFrame, spread: str) -> DataFrame:
     return lookup_join(targets, blocks, ["_block"], "inner", F.col(spread), max_rows=BROADCAST_BLOCKS)
 
 
-def violations(responses: DataFrame, rules: DataFrame, row_id: str, text: str) -> DataFrame:
-    """Every (amount, rule) pair that breaks the rule, whatever field the rule names."""
-    found = _against_rules(extracted_amounts(responses, row_id, text), rules, row_id)
-    broken = F.filter("_rules", lambda r: money.violates(r["operator"], F.col("amount"), r["rule_value"]))
-    return found.select(row_id, "position", "amount", F.inline(broken)).withColumnRenamed("id", "rule_id")
-
-
 def first_violations(responses: DataFrame, rules: DataFrame, row_id: str, text: str) -> DataFrame:
     """The first broken rule per response, in (rule, amount) order.
 

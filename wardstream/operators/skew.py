@@ -27,15 +27,3 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str, sprea
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def split_by_size(df: DataFrame, key: str, max_rows: int, spread: str) -> tuple[DataFrame, DataFrame]:
-    """(rows of keys with at most ``max_rows`` rows, the larger keys with their count).
-
-    The count is combined map-side and only the larger keys travel to the rows, so the
-    groups that remain can be windowed or collected safely.
-    """
-    sizes = df.groupBy(key).agg(F.count("*").alias("n_rows"))
-    large = sizes.filter(F.col("n_rows") > max_rows)
-    kept = lookup_join(df, large.select(key), [key], "left_anti", F.col(spread))
-    return kept, large

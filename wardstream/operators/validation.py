@@ -80,20 +80,16 @@ def truncated(messages: DataFrame, limit: int = fixed.MAX_OUTPUT_CHARS,
     )
 
 
-def message_lists(messages: DataFrame, max_messages: int = fixed.MAX_MESSAGES) -> DataFrame:
-    """Conversations within the message limit as ordered arrays; longer ones without the array.
+def message_lists(messages: DataFrame, block_turns: int = fixed.MAX_MESSAGES) -> DataFrame:
+    """Whole conversations as ordered arrays of messages, one row per ``block_turns`` turn numbers.
 
-    Only groups of at most ``max_messages`` rows are collected.
+    ``block`` numbers the parts of a conversation in order and ``n_messages`` counts the messages
+    of a part, so a conversation of any length is spread over many tasks and arrays stay short.
+    Messages of one turn go by role and text; those without a turn are a part with a NULL block.
     """
-    from .skew import split_by_size
-
-    kept, large = split_by_size(messages, "conv_id", max_messages, "turn")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    lists = kept.groupBy("conv_id").agg(
+    return messages.groupBy("conv_id", F.floor(F.col("turn") / block_turns).alias("block")).agg(
         F.count("*").alias("n_messages"),
         F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
         .alias("messages"),
     )
-    over = large.select("conv_id", F.col("n_rows").alias("n_messages"),
-                        F.lit(None).cast(lists.schema["messages"].dataType).alias("messages"))
-    return lists.unionByName(over)

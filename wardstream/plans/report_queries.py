@@ -45,17 +45,15 @@ def ops_cards(spark, folder):
     return metrics.cards(_metrics(spark, folder))
 
 
-_FEW_SQL = f"SELECT * FROM ({_RULES_SQL}) WHERE operator = '=='"
-
-
 @query("ops_snapshot", f"""{_METRICS_FROM}
-    SELECT TIMESTAMP '2024-02-01' AS exported_at, CAST(to_json(m) AS VARCHAR) AS metrics,
-        (SELECT CAST(to_json(list({{'id': id, 'target_field': target_field, 'operator': operator, 'rule_value': rule_value}} ORDER BY id)) AS VARCHAR)
-         FROM ({_FEW_SQL})) AS rules, (SELECT count(*) FROM a) AS n_audit
-    FROM ({_METRICS_SQL}) m""")
+    SELECT TIMESTAMP '2024-02-01' AS exported_at, part, rule_id, body FROM (
+        SELECT 'metrics' AS part, CAST(NULL AS BIGINT) AS rule_id, CAST(to_json(m) AS VARCHAR) AS body FROM ({_METRICS_SQL}) m
+        UNION ALL SELECT 'audit', NULL, CAST(to_json({{'n_audit': count(*)}}) AS VARCHAR) FROM a
+        UNION ALL SELECT 'rule', id, CAST(to_json({{'id': id, 'target_field': target_field, 'operator': operator, 'rule_value': rule_value}}) AS VARCHAR)
+        FROM ({_RULES_SQL}))""")
 def ops_snapshot(spark, folder):
-    few = _rules(spark, folder).filter("operator = '=='")
-    return tables.snapshot(_metrics(spark, folder), few, _audit(spark, folder), datetime.datetime(2024, 2, 1)).withColumn(
+    rows = tables.snapshot(_metrics(spark, folder), _rules(spark, folder), _audit(spark, folder), datetime.datetime(2024, 2, 1))
+    return rows.withColumn(
         "exported_at", F.col("exported_at").cast("timestamp_ntz"))
 
 
@@ -160,10 +158,13 @@ def traffic_rates(spark, folder):
 
 @query("spike_hours", f"""
     WITH h AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS n_events FROM ({_AUDIT}) GROUP BY ALL),
-    s AS (SELECT *, count(*) OVER w AS n, avg(n_events) OVER w AS mean, stddev_pop(n_events) OVER w AS sd FROM h
-        WINDOW w AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
-    SELECT event_type, hour, n_events, round(mean + 2.0::DOUBLE * sd, 4) AS threshold FROM s
-    WHERE n = 24 AND n_events > mean + 2.0::DOUBLE * sd""")
+    e AS (SELECT event_type, min(hour) AS lo, max(hour) AS hi FROM h GROUP BY 1),
+    g AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour FROM e),
+    f AS (SELECT g.event_type, g.hour, coalesce(n_events, 0) AS n_events FROM g LEFT JOIN h ON h.event_type = g.event_type AND h.hour = g.hour),
+    s AS (SELECT *, count(*) OVER w AS n, sum(n_events) OVER w AS total, sum(n_events * n_events) OVER w AS squares FROM f
+        WINDOW w AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT *, (total + 2.0::DOUBLE * sqrt((24 * squares - total * total)::DOUBLE)) / 24 AS limit_ FROM s WHERE n = 24)
+    SELECT event_type, hour, n_events, round(limit_, 4) AS threshold FROM t WHERE n_events > limit_""")
 def spike_hours(spark, folder):
     return metrics.spike_hours(_audit(spark, folder), "event_type")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.verdicts import block_outcome
-from ..operators import guards, review, rules, views
+from ..operators import guards, review, rule_counts, rules, views
 from ..sources import tables
 from . import derived as d, oracle_parts as o
 from .registry import query
@@ -101,12 +101,22 @@ def extract_amounts(spark, folder):
     return rules.extracted_amounts(_responses(spark, folder), "id", "text")
 
 
+_COUNTED_SQL = f"""
+    SELECT -id AS id, operator, rule_value, description FROM ({_LIMITS_SQL})
+    UNION ALL SELECT id, operator, rule_value, description FROM ({_RULES_SQL})"""
+
+
 @query("rule_violations", f"""
-    SELECT a.id, position, amount, r.id AS rule_id, operator, rule_value, description
-    FROM ({_AMOUNTS_SQL}) a, ({_LIMITS_SQL}) r WHERE {o.BROKEN}""")
+    SELECT r.id AS rule_id, any_value(operator) AS operator, any_value(rule_value) AS rule_value, any_value(description) AS description,
+        count(a.id) AS n_amounts, count(DISTINCT a.id) AS n_responses
+    FROM ({_COUNTED_SQL}) r LEFT JOIN ({_AMOUNTS_SQL}) a ON {o.BROKEN}
+    WHERE operator IN ('<=', '>=', '<', '>', '==') GROUP BY r.id""")
 def rule_violations(spark, folder):
-    answers = _responses(spark, folder).withColumnRenamed("id", "response_id")
-    return rules.violations(answers, _limits(spark, folder), "response_id", "text").withColumnRenamed("response_id", "id")
+    """The limits, with negative ids, and all accepted rules."""
+    columns = ["id", "operator", "rule_value", "description"]
+    limits = _limits(spark, folder).withColumn("id", -F.col("id")).select(columns)
+    counted = limits.unionByName(_rules(spark, folder).select(columns))
+    return rule_counts.violation_counts(_responses(spark, folder), counted, "text")
 
 
 @query("first_violation", f"SELECT id, rule_id, amount, description, reason FROM ({_FIRST_SQL})")
@@ -204,10 +214,9 @@ def promoted_rules(spark, folder):
 
 @query("uncovered_suggestions", f"""
     SELECT id, target_field FROM ({_SUGGESTED_SQL})
-    WHERE target_field NOT IN (SELECT target_field FROM ({_RULES_SQL}) WHERE operator = '==' AND target_field < 'max_m')""")
+    WHERE target_field NOT IN (SELECT target_field FROM ({_RULES_SQL}))""")
 def uncovered_suggestions(spark, folder):
-    active = _rules(spark, folder).filter("operator = '==' AND target_field < 'max_m'")
-    return rules.uncovered(_suggestions(spark, folder), active).select("id", "target_field")
+    return rules.uncovered(_suggestions(spark, folder), _rules(spark, folder)).select("id", "target_field")
 
 
 @query("suggestion_bands", f"""

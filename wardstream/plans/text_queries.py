@@ -227,12 +227,12 @@ def truncate_outputs(spark, folder):
 
 
 @query("message_lists", """
-    SELECT conv_id, count(*) AS n_messages, CASE WHEN count(*) <= 6 THEN
-        string_agg(role || '=' || text, '|' ORDER BY turn) END AS messages FROM conversations GROUP BY conv_id""")
+    SELECT conv_id, CAST(floor(turn / 6) AS BIGINT) AS block, count(*) AS n_messages,
+        string_agg(role || '=' || text, '|' ORDER BY turn, role, text) AS messages FROM conversations GROUP BY 1, 2""")
 def message_lists(spark, folder):
     lists = validation.message_lists(table(spark, folder, "conversations"), 6)
     joined = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|")
-    return lists.select("conv_id", "n_messages", joined.alias("messages"))
+    return lists.select("conv_id", "block", "n_messages", joined.alias("messages"))
 
 
 # --- judge text --------------------------------------------------------------

@@ -95,20 +95,21 @@ def rule_fields(rules: DataFrame) -> DataFrame:
                         F.col("rule_value").alias("value"), "description")
 
 
-def snapshot(metrics: DataFrame, rules: DataFrame, audit: DataFrame, stamp, max_rules: int = 10_000) -> DataFrame:
-    """One row for export: time, metrics, rules as JSON, size of the audit table."""
-    n_rules = rules.limit(max_rules + 1).count()
-    if n_rules > max_rules:
-        raise ValueError("too many rules for one snapshot row; export the rule table itself")
-    packed = F.array_sort(F.collect_list(F.struct("id", "target_field", "operator", "rule_value")))
-    parts = [
-        metrics.select(F.to_json(F.struct(*metrics.columns)).alias("metrics")),
-        rules.agg(F.to_json(packed).alias("rules")),
-        audit.agg(F.count("*").alias("n_audit")),
-    ]
-    both = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
-    return both.agg(F.lit(stamp).alias("exported_at"), *[F.max(c).alias(c) for c in ("metrics", "rules", "n_audit")])
-
-
-def write_snapshot(row: DataFrame, path: str) -> None:
-    row.coalesce(1).write.mode("errorifexists").json(path)
+def snapshot(metrics: DataFrame, rules: DataFrame, audit: DataFrame, stamp) -> DataFrame:
+    """Rows for export, each with the time, its ``part`` and a JSON ``body``.
+
+    The parts are the metrics, the size of the audit table, and every rule as a row of its own
+    with its id, so the number of rules does not bound the export.
+    """
+    def part(rows: DataFrame, name: str, *columns: str, own: str | None = None) -> DataFrame:
+        key = F.col(own) if own else F.lit(None)
+        return rows.select(F.lit(stamp).alias("exported_at"), F.lit(name).alias("part"), key.cast("long").alias("rule_id"),
+                           F.to_json(F.struct(*columns)).alias("body"))
+
+    sized = audit.agg(F.count("*").alias("n_audit"))
+    return part(metrics, "metrics", *metrics.columns).unionByName(part(sized, "audit", "n_audit")).unionByName(
+        part(rules, "rule", "id", "target_field", "operator", "rule_value", own="id"))
+
+
+def write_snapshot(rows: DataFrame, path: str) -> None:
+    rows.write.mode("errorifexists").json(path)
