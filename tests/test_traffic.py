@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardstream.operators import assembly, evaluation, ratelimit, requests, rules, sessions, similarity, skew, validation
+from wardstream.operators import (assembly, evaluation, metrics, ratelimit, requests, rule_counts, rules, sessions, similarity, skew,
+                                  validation)
 from wardstream.sources import tables
 
 
@@ -149,9 +150,9 @@ def test_shape_rules(spark):
     got = {r["conv_id"]: r["violation"] for r in validation.shape_check(df).collect()}
     assert got == {1: None, 2: "starts_with_assistant", 3: "multiple_system_messages", 4: "invalid_role", 5: "invalid_content",
                    6: "message_too_long", 7: "message_too_long", 8: "input_too_long", 9: "too_many_messages", 10: None}
-    lists = {r["conv_id"]: r for r in validation.message_lists(df).collect()}
-    assert lists[9]["messages"] is None and lists[9]["n_messages"] == 21 and len(lists) == 10
-    assert [m["role"] for m in lists[2]["messages"]] == ["assistant", "user"]
+    lists = {(r["conv_id"], r["block"]): r for r in validation.message_lists(df).collect()}
+    assert {k: r["n_messages"] for k, r in lists.items() if k[0] == 9} == {(9, 0): 20, (9, 1): 1} and len(lists) == 11
+    assert [m["role"] for m in lists[2, 0]["messages"]] == ["assistant", "user"]
 
 
 def test_pairs_keep_ends_and_order(spark):
@@ -194,6 +195,53 @@ def test_rules_beyond_one_block(spark, monkeypatch):
     assert len(no_rules) == 60 and all(r["rule_reason"] is None for r in no_rules)
 
 
+def test_violation_counts_agree_with_brute_force(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"${rng.choice([5, 10, 10.5, 20, 30])}" for _ in range(rng.randrange(5))) for _ in range(80)]
+    texts += [None, "", "no number", "$20", "$20", "$20 $20"]
+    answers = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    found = {}
+    for r in rules.extracted_amounts(answers, "id", "t").collect():
+        found.setdefault(r["id"], []).append(r["amount"])
+    broken = {"<=": lambda a, v: a > v, ">=": lambda a, v: a < v, "<": lambda a, v: a >= v, ">": lambda a, v: a <= v, "==": lambda a, v: a != v}
+    limits = [(1 + 6 * i + j, "f", op, v, "d") for i, v in enumerate((-1.0, 5.0, 10.0, 10.2, 20.0, 1e9)) for j, op in enumerate(broken)]
+    limits += [(100, "f", "<=", None, "no value"), (101, "f", "!=", 5.0, "not numeric"), (102, "g", "<=", 10.0, "same value")]
+    table = spark.createDataFrame(limits, tables.SCHEMAS["business_rules"])
+    got = {r["rule_id"]: (r["n_amounts"], r["n_responses"]) for r in rule_counts.violation_counts(answers, table, "t").collect()}
+    want = {}
+    for key, _, op, value, _ in limits:
+        if op in broken:
+            hit = [sum(value is not None and broken[op](a, value) for a in amounts) for amounts in found.values()]
+            want[key] = (sum(hit), sum(h > 0 for h in hit))
+    assert got == want and any(n > m for n, m in want.values())
+    none = rule_counts.violation_counts(answers.filter("id < 0"), table, "t").collect()
+    assert len(none) == len(want) and all(r["n_amounts"] == 0 == r["n_responses"] for r in none)
+    assert rule_counts.violation_counts(answers, table.filter("id < 0"), "t").count() == 0
+
+
+def test_quiet_hours_count_as_none(spark):
+    start = datetime.datetime(2024, 1, 1)
+    counts = {0: 1, 1: 2, 23: 40, 24: 3, 30: 2, 60: 1, 61: 1, 200: 5}
+    rows = [("a", start + datetime.timedelta(hours=h, minutes=m)) for h, n in counts.items() for m in range(n)]
+    got = metrics.spike_hours(spark.createDataFrame(rows + [("b", start)], "kind string, ts timestamp_ntz"), "kind").collect()
+    want = {}
+    for h, n in counts.items():
+        before = np.array([counts.get(g, 0) for g in range(h - 24, h)])
+        if h >= 24 and n > before.mean() + 2 * before.std():
+            want[start + datetime.timedelta(hours=h)] = (n, round(float(before.mean() + 2 * before.std()), 4))
+    assert {r["hour"]: (r["n_events"], r["threshold"]) for r in got} == want and len(want) == 3
+
+
+def test_snapshot_has_every_rule(spark):
+    limits = spark.createDataFrame([(i, f"f{i}", "<=", float(i), "d") for i in range(12)], tables.SCHEMAS["business_rules"])
+    audit = spark.range(7)
+    rows = tables.snapshot(audit.agg(F.count("*").alias("n")), limits, audit, datetime.datetime(2024, 2, 1)).collect()
+    assert sorted(r["rule_id"] for r in rows if r["part"] == "rule") == list(range(12))
+    assert {r["part"]: r["body"] for r in rows if r["part"] != "rule"} == {"metrics": '{"n":7}', "audit": '{"n_audit":7}'}
+    empty = tables.snapshot(audit.agg(F.count("*").alias("n")), limits.limit(0), audit.limit(0), datetime.datetime(2024, 2, 1))
+    assert sorted(r["part"] for r in empty.collect()) == ["audit", "metrics"]
+
+
 def test_candidates_and_approval(spark):
     good = '{"target_field":"f","operator":"<=","suggested_value":50.0,"description":"Max","confidence":0.9}'
     texts = [f"[{good}]", good.join("[]").replace("0.9", "0.6"), '[{"target_field":"f"}]', "nothing", f'[5, {good}, "x"]',
