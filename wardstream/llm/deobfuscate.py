@@ -15,6 +15,9 @@ Defined results: null and empty texts have no evidence and get the score of none
 texts are read whole; repeated rows get equal scores; labels without a text, or null, are
 left out; contradicting labels of one document count as toxic; without labels of both kinds
 every score is 0; other columns are not read.
+
+The pieces of evidence come from the bounded number of labelled rows alone, and each stands in
+at least ``SUPPORT`` toxic ones of them, so their table does not grow with the documents.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,7 +46,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 TRAINED_ON = 50_000
 #: Documents that must hold a piece of evidence; strongest pieces that are summed; beginnings of words.
 SUPPORT, STRONGEST, BEGINNINGS = 5, 3, (4, 5, 6)
-REMEMBERED, GATHERED = 200_000, 300_000
+#: Tokens in each generation of a worker's memory; keys that a task gathers before it passes them on.
+REMEMBERED, GATHERED = 300_000, 300_000
 
 _SIGNS = re.escape("".join(c for c in LOOKALIKES if not c.isalnum()))
 #: Marks whose only reading is nothing.
@@ -155,25 +159,42 @@ def restore_run(run: str, model: CharacterModel) -> str:
 
 
 class Restorer:
-    """The distinct restored words of a text; tokens are decoded once per task."""
+    """The distinct restored words of a text, or those of them that ``matters`` holds for.
+
+    Decoded tokens are remembered in two generations; when the younger is full, the older goes.
+    Broadcast, so that all tasks of a worker process share one memory.
+    """
 
-    def __init__(self, model: CharacterModel):
-        self._model, self._known = model, {}
+    def __init__(self, model: CharacterModel, matters: Callable[[str], bool] | None = None):
+        self._model, self._matters = model, matters
+        self._young: dict[str, str] = {}
+        self._old: dict[str, str] = {}
 
     def words(self, text: str) -> set[str]:
         text = text.lower()
-        tokens, known = set(text.split()), self._known
+        if len(self._young) > REMEMBERED:
+            self._young, self._old = {}, self._young
+        out, young = set(), self._young
+        for t in set(text.split()):
+            got = young.get(t)
+            if got is None:
+                got = self._recall(t, restore_word)
+            out.add(got)
         # no token has a space, so a run never has the key of one
-        runs = {f" {run}" for run in _SPACED.findall(text)}
-        if len(known) > REMEMBERED:
-            known.clear()
-        for t in tokens:
-            if t not in known:
-                known[t] = restore_word(t, self._model)
-        for run in runs:
-            if run not in known:
-                known[run] = restore_run(run[1:], self._model)
-        return {known[t] for t in tokens}.union(*(known[run].split() for run in runs))
+        for run in {f" {run}" for run in _SPACED.findall(text)}:
+            got = young.get(run)
+            out.update((self._recall(run, restore_run) if got is None else got).split())
+        out.discard("")
+        return out
+
+    def _recall(self, key: str, restore: Callable[[str, CharacterModel], str]) -> str:
+        got = self._old.get(key)
+        if got is None:
+            got = restore(key.lstrip(" "), self._model)
+            if self._matters:
+                got = " ".join(w for w in got.split(" ") if self._matters(w))
+        self._young[key] = got
+        return got
 
 
 def restored_text(text: str, model: CharacterModel) -> str:
@@ -182,7 +203,7 @@ def restored_text(text: str, model: CharacterModel) -> str:
     return " ".join(restore_word(t, model) for t in joined.split())
 
 
-def evidence_of(words: set[str]) -> set[str]:
+def evidence_of(words: Iterable[str]) -> set[str]:
     """Words, and beginnings of longer words."""
     out = {w for w in words if len(w) > 2}
     out.update(f"{w[:n]}~" for w in words for n in BEGINNINGS if len(w) > n)
@@ -195,25 +216,27 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
     Tasks count words and send trigrams over the 26 letters and the two ends, of which
     there are fewer than 28 ** 3.
     """
-    word = re.compile(r"(?<![^\s])[a-z]{1,30}(?![^\s.,;:!?])")
+    word = re.compile(r"[a-z]{1,30}(?![^.,;:!?])")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams: Counter[str] = Counter()
         held: Counter[str] = Counter()
 
         def flush() -> None:
-            for w, n in held.items():
-                marked = f"^^{w}$"
-                for i in range(len(marked) - 2):
-                    grams[marked[i:i + 3]] += n
+            for token, n in held.items():
+                w = word.match(token)
+                if w:
+                    marked = f"^^{w[0]}$"
+                    for i in range(len(marked) - 2):
+                        grams[marked[i:i + 3]] += n
             held.clear()
 
         for batch in batches:
             for text in batch.iloc[:, 0]:
                 if text:
-                    held.update(word.findall(text.lower()))
-            if len(held) > GATHERED:
-                flush()
+                    held.update(text.lower().split())
+                    if len(held) > GATHERED:
+                        flush()
         flush()
         if grams:
             yield pd.DataFrame({"g": list(grams), "n": list(grams.values())})
@@ -242,21 +265,17 @@ class Scorer:
 
     def __init__(self, odds: dict[str, float], curve: tuple[float, float]):
         self.odds, self.curve = odds, curve
-        self._known: dict[str, float] = {}
 
-    def sum_of(self, words: set[str]) -> float:
+    def worth(self, word: str) -> float:
         """A word counts once, by its strongest piece, so one word is not evidence thrice."""
-        known, odds = self._known, self.odds
-        if len(known) > REMEMBERED:
-            known.clear()
-        found = []
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = known[w] = max((odds.get(e, 0.0) for e in evidence_of({w})), default=0.0)
-            if got > 0:
-                found.append(got)
-        return sum(sorted(found)[-STRONGEST:])
+        return max((self.odds.get(e, 0.0) for e in evidence_of({word})), default=0.0)
+
+    def matters(self, word: str) -> bool:
+        return self.worth(word) > 0
+
+    def sum_of(self, words: Iterable[str]) -> float:
+        found = sorted(x for x in map(self.worth, words) if x > 0)
+        return sum(found[-STRONGEST:])
 
     def score(self, evidence: float) -> float:
         a, b = self.curve
@@ -282,54 +301,63 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = model or CharacterModel(character_counts(docs, text_col))
     rows = training_rows(docs, labels, id_col, text_col, bound)
 
+    shared = docs.sparkSession.sparkContext.broadcast(Restorer(model))
+
+    def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"toxic": [int(t == 1) for t in batch["toxic"]],
+                                "words": [list(shared.value.words(t)) for t in batch["text"]]}, columns=["toxic", "words"])
+
+    # decoded once, counted and summed from the written words
+    restored = cut_lineage(rows.mapInPandas(restore, "toxic int, words array<string>"))
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, held, n = Restorer(model), {}, [0, 0]
+        held, n = {}, [0, 0]
 
         def out() -> pd.DataFrame:
             keys = list(held)
             return pd.DataFrame({"e": keys, "bad": [held[k][1] for k in keys], "good": [held[k][0] for k in keys]}, columns=["e", "bad", "good"])
 
         for batch in batches:
-            for toxic, text in batch.itertuples(index=False):
-                n[int(toxic == 1)] += 1
-                for e in evidence_of(restorer.words(text)):
-                    held.setdefault(e, [0, 0])[int(toxic == 1)] += 1
+            for toxic, words in batch.itertuples(index=False):
+                n[toxic] += 1
+                for e in evidence_of(words):
+                    held.setdefault(e, [0, 0])[toxic] += 1
             if len(held) > GATHERED:
                 yield out()
                 held.clear()
         held[""] = n
         yield out()
 
-    counts = cut_lineage(rows.mapInPandas(count, "e string, bad long, good long").groupBy("e").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    counts = cut_lineage(restored.mapInPandas(count, "e string, bad long, good long").groupBy("e").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     totals = counts.filter("e = ''").first()
     bad, good = (totals["bad"], totals["good"]) if totals else (0, 0)
     if not bad or not good:
         return model, Scorer({}, (0.0, -30.0))
     # shrunk: half a document is added on either side, and a piece needs SUPPORT toxic documents
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    # a piece must be far from chance; the most telling ones make a table of bounded size
+    # a piece must be far from chance
     telling = counts.filter((F.col("e") != "") & (F.col("bad") >= SUPPORT)).select("e", odds.alias("o"), "bad").filter("o > 1.5")
-    kept = telling.orderBy(F.desc(F.col("o") * F.sqrt("bad")), "e").limit(bound).collect()
+    kept = telling.select("e", "o").collect()
     scorer = Scorer({r["e"]: r["o"] for r in kept}, (1.0, 0.0))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(model)
+        listener = known.value
         for batch in batches:
-            yield pd.DataFrame({"toxic": [int(t == 1) for t in batch["toxic"]],
-                                "x": [round(scorer.sum_of(restorer.words(t)), 1) for t in batch["text"]]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "x": [round(listener.sum_of(w), 1) for w in batch["words"]]})
 
-    seen = rows.mapInPandas(sums, "toxic int, x double").groupBy("toxic", "x").count().toPandas()
+    known = docs.sparkSession.sparkContext.broadcast(scorer)
+    seen = restored.mapInPandas(sums, "toxic int, x double").groupBy("toxic", "x").count().toPandas()
     curve = fit_curve(seen["x"].to_numpy(float), seen["toxic"].to_numpy(float), seen["count"].to_numpy(float))
     return model, Scorer(scorer.odds, curve)
 
 
 def score(docs: DataFrame, model: CharacterModel, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, held_out, score, predicted."""
-    both = docs.sparkSession.sparkContext.broadcast((model, scorer))
+    both = docs.sparkSession.sparkContext.broadcast((Restorer(model, scorer.matters), scorer))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, scorer = both.value
-        restorer = Restorer(model)
+        restorer, scorer = both.value
         for batch in batches:
             yield pd.DataFrame({"_id": batch.iloc[:, 0], "score": [
                 scorer.score(scorer.sum_of(restorer.words(t)) if t else 0.0) for t in batch.iloc[:, 1]]})
