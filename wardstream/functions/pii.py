@@ -70,6 +70,17 @@ def redact(df: DataFrame, text: str, patterns: dict[str, str] | None = None,
     }).drop(r)
 
 
+def hits(text: Column, types: Column, patterns: dict[str, str] | None = None) -> Column:
+    """Array of ``kind, n``: the matches in ``text`` of each of the detected ``types``.
+
+    Only rows with a type are scanned, and only with its pattern.
+    """
+    steps = (fixed.PII_PATTERNS if patterns is None else patterns).items()
+    return F.array_compact(F.array(*[
+        F.when(F.array_contains(types, k), F.struct(F.lit(k).alias("kind"), F.regexp_count(text, _java(p)).cast("long").alias("n")))
+        for k, p in steps]))
+
+
 def route(types: Column) -> Column:
     """A: high-sensitivity types go to the judge; B: others are sanitised; C: classifier."""
     high = F.array(*[F.lit(t) for t in fixed.HIGH_SENSITIVITY])

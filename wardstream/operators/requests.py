@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import truncate_output
 from ..session import cut_lineage
 from . import guards, ratelimit, rules as rule_ops, scoring, screening, sessions, similarity
 
@@ -20,6 +21,7 @@ from . import guards, ratelimit, rules as rule_ops, scoring, screening, sessions
 @dataclass(frozen=True)
 class Settings:
     max_message: int = fixed.MAX_MESSAGE_CHARS
+    max_output: int = fixed.MAX_OUTPUT_CHARS
     cache_threshold: float = fixed.CACHE_THRESHOLD
     drift_limit: float = fixed.DRIFT_THRESHOLD
     escalation_limit: float = fixed.ESCALATION_THRESHOLD
@@ -30,14 +32,15 @@ def verdicts(requests: DataFrame, cached: DataFrame, rules: DataFrame, settings:
     """Every request with its deciding ``stage``, ``status``, ``action_taken`` and ``reason``.
 
     ``requests`` has one user message each: id, session_id, ts, prompt, the model columns
-    of the guards, and the answer in ``text``; ids increase with time.  ``cached`` are the
+    of the guards, and the answer in ``text``; ids increase with time.  Answers are cut to
+    ``max_output`` characters and a marker before any guard or record reads them.  ``cached`` are the
     stored entries (entry_id, prompt), of which those older than a request can answer it.
     Every request that reaches the cache and session stages is embedded there; entries are
     embedded in the same way.
     """
     s = settings or Settings()
     long_prompt = F.when(F.length("prompt") > s.max_message, F.lit("message_too_long"))
-    gated = requests.withColumn("violation", long_prompt).withColumn(
+    gated = requests.withColumn("text", truncate_output(F.col("text"), s.max_output)).withColumn("violation", long_prompt).withColumn(
         "raw_prompt", F.when(F.col("violation").isNull(), F.col("prompt"))).drop("prompt")
     # Several stages read the normalised prompts; writing them beats decoding them again.
     screened = cut_lineage(screening.screen(gated, "raw_prompt"))

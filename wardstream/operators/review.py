@@ -20,6 +20,22 @@ def resolve(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     }).drop("_d")
 
 
+def queued(decided: DataFrame) -> DataFrame:
+    """Pending review rows of the verdicts that wait for a human; ``id`` is that of the request.
+
+    A request stopped at the input is shown as the guard read it and has no answer yet (an empty
+    text); one stopped at the output is shown with the sanitised prompt and the answer.
+    """
+    output = F.col("stage") == "output"
+    return decided.filter(F.col("action_taken") == "QUEUED_FOR_REVIEW").select(
+        "id", F.col("ts").alias("created_at"), "session_id",
+        F.when(output, F.col("in_prompt")).otherwise(F.col("norm_text")).alias("masked_prompt"),
+        F.when(output, F.col("text")).otherwise("").alias("llm_response"),
+        F.col("stage").alias("guard_stage"),
+        F.when(output, F.col("out_confidence")).otherwise(F.col("in_confidence")).alias("guard_score"),
+        F.col("reason").alias("guard_reason"), F.lit("pending").alias("status"))
+
+
 def split(queue: DataFrame) -> DataFrame:
     """Rows per view: pending and resolved."""
     state = F.when(F.col("status") == "pending", "pending").otherwise("resolved")

@@ -47,6 +47,24 @@ def pii_incidence(spark, folder):
     return privacy.incidence(_pii(spark, folder), "doc_id", ["source", "lang"])
 
 
+def _hits_sql() -> str:
+    kinds = ", ".join(
+        f"CASE WHEN list_contains(redacted_types, '{k}') THEN {{'kind': '{k}', 'n': len(regexp_extract_all(text, {o.quote(o.re2(p))}))}} END"
+        for k, p in fixed.PII_PATTERNS.items())
+    return f"""
+    WITH f AS (SELECT source, lang, redacted_count, [{kinds}] AS hits FROM ({_PII_SQL}) WHERE len(redacted_types) > 0),
+    e AS (SELECT source, lang, h.kind AS pii_type, h.n AS n FROM (SELECT source, lang, unnest(hits) AS h FROM f) WHERE h IS NOT NULL
+        UNION ALL SELECT source, lang, 'any', redacted_count FROM f)
+    SELECT CASE GROUPING(source, lang) WHEN 0 THEN 'source,lang' WHEN 1 THEN 'source' WHEN 2 THEN 'lang' ELSE 'all' END AS level,
+        source, lang, pii_type, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_hits
+    FROM e GROUP BY GROUPING SETS ((pii_type, source, lang), (pii_type, source), (pii_type, lang), (pii_type))"""
+
+
+@query("pii_hits", _hits_sql())
+def pii_hits(spark, folder):
+    return privacy.hit_levels(_pii(spark, folder), "text", ["source", "lang"])
+
+
 @query("pii_redact_library")
 def pii_redact_library(spark, folder):
     """The lookarounds of this list have no counterpart in the checking SQL."""

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.verdicts import status_verdict
-from ..operators import evaluation, requests, scoring, views
+from ..operators import evaluation, requests, review, scoring, views
 from ..sources.tables import table
 from . import derived as d, oracle_parts as o
 from .registry import query
 from .rule_queries import _LIMITS_SQL, _limits
 
+# Most answers of the test tables are shorter than the usual limit.
+_MAX_OUTPUT = 500
 # The driver's texts share few words, so the limits of a session are set to values that some
 # requests reach and others do not.
 _SETTINGS = requests.Settings(
-    cache_threshold=0.90, drift_limit=1.0, escalation_limit=0.02,
+    cache_threshold=0.90, drift_limit=1.0, escalation_limit=0.02, max_output=_MAX_OUTPUT,
     bucket={"capacity": 3, "refill_tokens": 1, "refill_seconds": 600})
 
 
@@ -25,7 +27,8 @@ def _verdicts(spark, folder):
 
 
 def _verdict_sql() -> str:
-    base = f"""SELECT * EXCLUDE (prompt), substring(sha256(CAST(id AS STRING)), 1, 8) AS canary_id,
+    base = f"""SELECT * EXCLUDE (prompt, text), substring(sha256(CAST(id AS STRING)), 1, 8) AS canary_id,
+        CASE WHEN length(text) > {_MAX_OUTPUT} THEN substring(text, 1, {_MAX_OUTPUT}) || chr(10) || chr(10) || '[Output truncated]' ELSE text END AS text,
         CASE WHEN length(prompt) > 4000 THEN 'message_too_long' END AS violation,
         CASE WHEN length(prompt) <= 4000 THEN prompt END AS raw_prompt FROM ({d.sql(d.requests)})"""
     limited = o.bucket_replay(
@@ -103,6 +106,15 @@ def audit_rows(spark, folder):
     return views.audit_rows(requests.audit_fields(_verdicts(spark, folder)))
 
 
+@query("review_rows", f"""{_VERDICTS}
+    SELECT id, ts AS created_at, session_id, CASE WHEN stage = 'output' THEN in_prompt ELSE norm_text END AS masked_prompt,
+        CASE WHEN stage = 'output' THEN text ELSE '' END AS llm_response, stage AS guard_stage,
+        CASE WHEN stage = 'output' THEN out_confidence ELSE in_confidence END AS guard_score, reason AS guard_reason, 'pending' AS status
+    FROM verdicts WHERE action_taken = 'QUEUED_FOR_REVIEW'""")
+def review_rows(spark, folder):
+    return review.queued(_verdicts(spark, folder))
+
+
 _STAGE_LIST = ["Input Validation", *views.STAGES]
 _ENDS = {"shape": 0, "normalise": 1, "rate_limit": 2, "cache": 2, "session": 2, "input": 3, "llm": 4, "output": 6}
 _END_SQL = "CASE stage " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _ENDS.items()) + " ELSE 7 END"
