@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardstream.operators import (assembly, evaluation, metrics, ratelimit, requests, rule_counts, rules, sessions, similarity, skew,
                                   validation)
+from wardstream.plans import catalog
 from wardstream.sources import tables
 
 
@@ -219,6 +220,19 @@ def test_violation_counts_agree_with_brute_force(spark):
     assert rule_counts.violation_counts(answers, table.filter("id < 0"), "t").count() == 0
 
 
+def test_violations_are_all_pairs_of_amount_and_broken_rule(spark):
+    texts = [(1, "$5 and $20"), (2, "$20 $20"), (3, None), (4, "nothing"), (2, "$10")]
+    limits = [(1, "f", "<=", 10.0, "most"), (2, "f", ">", 5.0, "least"), (3, "f", "!=", 5.0, "not numeric"), (4, "g", "==", 20.0, None)]
+    answers = spark.createDataFrame(texts, "id long, t string")
+    table = spark.createDataFrame(limits, tables.SCHEMAS["business_rules"])
+    rows = rules.violations(answers.withColumnRenamed("id", "row"), table, "row", "t").collect()
+    assert sorted((r["row"], r["position"], r["amount"], r["rule_id"]) for r in rows) == [
+        (1, 0, 5.0, 2), (1, 0, 5.0, 4), (1, 1, 20.0, 1), (2, 0, 10.0, 4), (2, 0, 20.0, 1), (2, 1, 20.0, 1)]
+    pairs, counts = (catalog.QUERIES[q](spark, "/root/testdata/sf0.001") for q in ("rule_violations", "rule_violation_counts"))
+    each = {-r["rule_id"]: r["n"] for r in pairs.groupBy("rule_id").agg(F.count("*").alias("n")).collect()}
+    assert sum(each.values()) > 100 and each == {r["rule_id"]: r["n_amounts"] for r in counts.filter("rule_id < 0 AND n_amounts > 0").collect()}
+
+
 def test_quiet_hours_count_as_none(spark):
     start = datetime.datetime(2024, 1, 1)
     counts = {0: 1, 1: 2, 23: 40, 24: 3, 30: 2, 60: 1, 61: 1, 200: 5}
