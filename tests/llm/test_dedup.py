@@ -241,3 +241,20 @@ def test_connected_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101), (7, 7)]
     got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {i: 0 for i in range(61)} | {100: 100, 101: 100, 103: 100}
+
+
+def test_shingle_sets_are_made_in_lots(monkeypatch):
+    import tracemalloc
+
+    from wardstream.llm import jaccard_join
+    from wardstream.llm.hashing import STEP, Powers
+
+    texts = [" ".join(f"w{(i * 7 + k) % 311}" for k in range(i * 13 % 900)) for i in range(600)] + [None, "", " ", "one two"]
+    tracemalloc.start()
+    small = jaccard_join.shingle_sets(texts, Powers(STEP))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    monkeypatch.setattr(jaccard_join, "LOT_BYTES", 10 ** 9)
+    whole = jaccard_join.shingle_sets(texts, Powers(STEP))
+    assert [s.tolist() for s in small] == [s.tolist() for s in whole] and len(small) == len(texts)
+    assert peak < 20 * sum(len(t or "") for t in texts)
