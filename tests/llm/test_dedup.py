@@ -219,6 +219,44 @@ def test_components_against_brute_force(spark, seed, frequent):
     assert sorted(map(tuple, got)) == sorted(linked(texts, ids))
 
 
+def joined_rows(plan):
+    """Rows that each join of an executed plan made."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return joined_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return joined_rows(plan.plan())
+    below = [n for i in range(plan.children().size()) for n in joined_rows(plan.children().apply(i))]
+    return below + ([plan.metrics().apply("numOutputRows").value()] if "Join" in name else [])
+
+
+def test_far_copies_do_not_meet_their_group(spark, monkeypatch):
+    """A quarter of a large group is too far from all others, though a common tail gives it frequent shingles enough."""
+    rng, size = random.Random(4), 160
+    template, tail = [f"t{i}" for i in range(150)], [f"tail{i}" for i in range(12)]
+    texts = []
+    for i in range(size):
+        copy, far = list(template), i % 4 == 0
+        for at in rng.sample(range(10, 140, 10), 5 if far else rng.randrange(4)):
+            copy[at] = f"own{i}x{at}"
+        texts.append(" ".join(copy + tail * far))
+    rows, postings = [], []
+    pairs_of = jaccard_join._all_pairs
+
+    def counted(*given):
+        pairs = pairs_of(*given)
+        postings.append(given[0].count())
+        pairs.collect()
+        rows.extend(joined_rows(pairs._jdf.queryExecution().executedPlan()))
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "_all_pairs", counted)
+    ids = list(range(size))
+    got = jaccard_join.join(frame(spark, texts, ids)).collect()
+    assert sorted(map(tuple, got)) == sorted(linked(texts, ids))
+    assert max(rows, default=0) <= postings[0], (rows, postings)
+
+
 def test_join_of_empty_table(spark):
     assert jaccard_join.join(frame(spark, [])).count() == 0
 
