@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardstream.llm import graph, hashing, jaccard_join, suffix_dedup
+from wardstream.session import cut_lineage
 
 SCHEMA = "doc_id long, text string, k string, n string"
 
@@ -281,6 +282,28 @@ def test_connected_components(spark):
     assert {r.node: r.component for r in got} == {i: 0 for i in range(61)} | {100: 100, 101: 100, 103: 100}
 
 
+def test_stars_are_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: written.append(0) or cut_lineage(df))
+    stars = [(1, i) for i in range(2, 30)] + [(40, 41), (40, 41), (42, 42)]
+    got = graph.components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {i: 1 for i in range(1, 30)} | {40: 40, 41: 40}
+    assert len(written) == 1
+    chain = [(1, 2), (2, 3), (5, 3)]
+    assert {tuple(r) for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()} == {(i, 1) for i in (1, 2, 3, 5)}
+
+
+def test_hubs_are_found_without_a_join(spark):
+    """Classes meet their bucket's hub by one join; the hub is the least by edits, then by the random order."""
+    rows = spark.createDataFrame([(t, False, c, 100, c % 3, 100, c) for t in range(20) for c in range(30)],
+                                 "token long, hot boolean, cls long, n int, h int, rest int, component long")
+    pairs = jaccard_join._hub_pairs(rows, 0, 5, True)
+    got = pairs.collect()
+    assert len(joined_rows(pairs._jdf.queryExecution().executedPlan())) == 1
+    hubs = {r.a for r in got}
+    assert len(hubs) == 1 and hubs.pop() % 3 == 2 and len(got) == 29
+
+
 def test_shingle_sets_are_made_in_lots(monkeypatch):
     import tracemalloc
 
